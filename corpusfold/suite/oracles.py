@@ -156,13 +156,13 @@ features AS (SELECT s.cluster, word, tf, {STOP} AS stop,
     FROM stats s JOIN totals USING (cluster) JOIN lengths USING (cluster)),
 terms AS MATERIALIZED (SELECT cluster, word, tf, stop,
     related * position / (case_ + frequency / related + spread / related) AS s FROM features),
-usable AS MATERIALIZED (SELECT * FROM terms WHERE NOT stop AND NOT regexp_matches(word, '^\p{{N}}+$')),
+usable AS MATERIALIZED (SELECT cluster, word, tf, s, cluster || ' ' || word AS key FROM terms WHERE NOT stop AND NOT regexp_matches(word, '^\p{{N}}+$')),
 candidates AS MATERIALIZED (
     SELECT cluster, word AS keyword, 1 AS size, tf, ln(s / (tf * (1 + s))) AS log_score FROM usable
     UNION ALL
     SELECT p.cluster, w0 || ' ' || w1, 2, n, ln(a.s * b.s / (n * (1 + a.s + b.s)))
-    FROM pairs p JOIN usable a ON p.cluster = a.cluster AND p.w0 = a.word
-    JOIN usable b ON p.cluster = b.cluster AND p.w1 = b.word),
+    FROM (SELECT *, cluster || ' ' || w0 AS key0, cluster || ' ' || w1 AS key1 FROM pairs) p
+    JOIN usable a ON a.key = key0 JOIN usable b ON b.key = key1),
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (
     PARTITION BY cluster ORDER BY round(log_score, 9), keyword) AS rank FROM candidates)"""
 
