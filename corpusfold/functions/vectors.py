@@ -81,3 +81,10 @@ def list_array(rows: np.ndarray) -> pa.ListArray:
     n, dim = rows.shape
     ends = np.arange(0, n * dim + 1, max(dim, 1), dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1)))
+
+
+def list_matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)

@@ -10,12 +10,11 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusfold.functions.vectors import (
-    dense_slices, list_array, pack, squared_distances, vector_columns, vector_size)
+    dense_slices, list_array, list_matrix, pack, squared_distances, vector_columns, vector_size)
 
 SEED, RESTARTS, MAX_ITER, TOLERANCE = 42, 10, 300, 1e-4
 
@@ -161,19 +160,34 @@ def _lloyd_pass(points: DataFrame, dim: int, runs: list[np.ndarray]) -> dict:
 
     Entry -1 is the whole table: rows, sum of squared lengths, sum.
     """
-    rows = sum_by_slot(points.mapInArrow(_assign_and_sum(runs, dim), SLOT_SCHEMA))
+    slots = sum(len(c) for c in runs) + 1
+    rows = sum_by_slot(points.mapInArrow(_assign_and_sum(runs, dim), SLOT_SCHEMA), slots)
     return {slot: (n, cost, total) for slot, n, cost, total in rows}
 
 
 SLOT_SCHEMA = "slot int, n bigint, cost double, total array<double>"
 
 
-def sum_by_slot(partial: DataFrame) -> list[tuple[int, int, float, np.ndarray]]:
-    """Add up what the tasks found per slot; vectors are summed inside the JVM."""
-    summed = partial.groupBy("slot").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"),
-        Summarizer.sum(array_to_vector(F.col("total"))).alias("total")).collect()
-    return [(r["slot"], r["n"], r["cost"], r["total"].toArray()) for r in summed]
+def sum_by_slot(partial: DataFrame, slots: int) -> list[tuple[int, int, float, np.ndarray]]:
+    """Add up what the tasks found per slot. Slots are dealt over the cores, each summed as it streams in."""
+    cores = partial.sparkSession.sparkContext.defaultParallelism
+    summed = partial.repartition(min(cores, slots), "slot").mapInArrow(_add_up, SLOT_SCHEMA).toArrow()
+    return list(zip(summed.column("slot").to_pylist(), summed.column("n").to_pylist(),
+                    summed.column("cost").to_pylist(), list_matrix(summed.column("total"))))
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, list] = {}
+    for batch in batches:
+        scalars = (batch.column(c).to_pylist() for c in ("slot", "n", "cost"))
+        for slot, n, cost, total in zip(*scalars, list_matrix(batch.column("total"))):
+            known = sums.setdefault(slot, [0, 0.0, 0.0])
+            known[0] += n
+            known[1] += cost
+            known[2] = known[2] + total
+    if sums:
+        n, cost, total = zip(*sums.values())
+        yield slot_batch(np.array(list(sums)), np.array(n), np.array(cost), np.stack(total))
 
 
 def slot_batch(slots: np.ndarray, n: np.ndarray, cost: np.ndarray, total: np.ndarray) -> pa.RecordBatch:

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusfold.functions.vectors import (
-    dense_slices, list_array, pack, squared_distances, vector_columns, vector_size)
+    dense_slices, list_array, list_matrix, pack, squared_distances, vector_columns, vector_size)
 from corpusfold.operators.cluster import SLOT_SCHEMA, slot_batch, sum_by_slot
 from corpusfold.session import write_shared
 
 # Up to this many rows the silhouette uses plain Euclidean distances of all pairs.
 EXACT_LIMIT = 10_000
 # Rows on either side of one block of that comparison.
-TILE_ROWS = 1_000
+TILE_ROWS = 2_000
 
 METRICS = "k int, distortion double, silhouette double, calinski double"
 
@@ -82,13 +82,13 @@ def _one_labelling(df, k, features, cluster, method, exact_limit=EXACT_LIMIT) ->
     return labelling_metrics(labelled, [k], features, "labels", method, exact_limit)
 
 
-def _label_matrix(batch: pa.RecordBatch, labellings: int) -> np.ndarray:
-    return batch.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(-1, labellings)
+def _label_matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return list_matrix(batch.column("labels"))
 
 
 def _groups(points: DataFrame, dim: int, ks: list[int]) -> Groups:
     first = np.cumsum([0] + ks)
-    sums = sum_by_slot(points.mapInArrow(_sums(ks, dim), SLOT_SCHEMA))
+    sums = sum_by_slot(points.mapInArrow(_sums(ks, dim), SLOT_SCHEMA), sum(ks))
     n, mean = np.zeros(first[-1]), np.zeros((first[-1], dim))
     for slot, count, _, total in sums:
         n[slot], mean[slot] = count, total / count
@@ -109,7 +109,7 @@ def _sums(ks: list[int], dim: int):
         n, total = np.zeros(slots), np.zeros((slots, dim))
         for batch in batches:
             for part, x in dense_slices(batch, dim):
-                member = _members(_label_matrix(part, len(ks)) + first, slots)
+                member = _members(_label_matrix(part) + first, slots)
                 n += member.sum(0)
                 total += member.T @ x
         used = np.flatnonzero(n)
@@ -131,7 +131,7 @@ def _spread(mean: np.ndarray, ks: list[int], dim: int):
         cost = np.zeros(len(mean))
         for batch in batches:
             for part, x in dense_slices(batch, dim):
-                at = _label_matrix(part, len(ks)) + first
+                at = _label_matrix(part) + first
                 for j in range(len(ks)):
                     off = x - mean[at[:, j]]
                     cost += np.bincount(at[:, j], (off * off).sum(1), len(mean))
@@ -172,7 +172,7 @@ def _silhouette_squared(points: DataFrame, dim: int, groups: Groups) -> list[flo
         total = np.zeros(len(groups.n))
         for batch in batches:
             for part, x in dense_slices(batch, dim):
-                labels = _label_matrix(part, len(groups.n))
+                labels = _label_matrix(part)
                 for j, (n, mean, sse) in enumerate(zip(*groups)):
                     sums = squared_distances(x, mean) * n + sse
                     total[j] += _scores(sums, labels[:, j], n).sum()
@@ -205,7 +205,7 @@ def _silhouette_exact(points: DataFrame, dim: int, ks: list[int], groups: Groups
                 distance = np.sqrt(squared_distances(x, y))
                 # A row's distance to itself is nought, which the expanded form may miss.
                 distance[np.equal.outer(part.column("row").to_numpy(), other.column("row").to_numpy())] = 0.0
-                sums[start:start + len(x)] += distance @ _members(_label_matrix(other, len(ks)) + first, slots)
+                sums[start:start + len(x)] += distance @ _members(_label_matrix(other) + first, slots)
             start += len(x)
         return pa.table({"row": a.column("row"), "labels": a.column("labels"), "sums": list_array(sums)})
 
@@ -218,8 +218,8 @@ def _silhouette_exact(points: DataFrame, dim: int, ks: list[int], groups: Groups
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ks))
         for batch in batches:
-            labels = _label_matrix(batch, len(ks))
-            sums = batch.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, slots)
+            labels = _label_matrix(batch)
+            sums = list_matrix(batch.column("sums"))
             for j, k in enumerate(ks):
                 total[j] += _scores(sums[:, first[j]:first[j] + k], labels[:, j], groups.n[j]).sum()
         yield _score_batch(total)
