@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusfold.functions.vectors import (
-    dense_slices, list_array, list_matrix, pack, squared_distances, vector_columns, vector_size)
+    TASK_BYTES, dense_slices, list_array, list_matrix, pack, squared_distances, vector_columns, vector_size)
 
 SEED, RESTARTS, MAX_ITER, TOLERANCE = 42, 10, 300, 1e-4
 
@@ -70,12 +70,12 @@ def fit_all(df: DataFrame, ks: Sequence[int], features: str = "features", restar
 
 def _fit_lanes(points: DataFrame, dim: int, ks: list[int], lanes: range, seed: int,
                max_iter: int, tol: float) -> Iterator[Fit]:
-    starts = _plus_plus(points, dim, max(ks), lanes, seed)
+    starts, tasks = _plus_plus(points, dim, max(ks), lanes, seed), points.rdd.getNumPartitions()
     # Seeds are drawn one after the other, so the first k of a lane are a start for k clusters.
     running = [(k, starts[lane, :k]) for k in ks for lane in range(len(lanes))]
     limit = None
     for _ in range(max_iter):
-        sums = _lloyd_pass(points, dim, [c for _, c in running])
+        sums = _lloyd_pass(points, tasks, dim, [c for _, c in running])
         if limit is None:
             n, norms, total = sums[-1]
             limit = tol * max(norms / n - (total / n) @ (total / n), 0.0) / dim
@@ -155,23 +155,26 @@ def _draw(centers: np.ndarray, dim: int, streams: list[tuple[int, int, int]]):
     return draw
 
 
-def _lloyd_pass(points: DataFrame, dim: int, runs: list[np.ndarray]) -> dict:
+def _lloyd_pass(points: DataFrame, tasks: int, dim: int, runs: list[np.ndarray]) -> dict:
     """Per centre (numbered through all runs): rows assigned, their inertia and their sum.
 
     Entry -1 is the whole table: rows, sum of squared lengths, sum.
     """
     slots = sum(len(c) for c in runs) + 1
-    rows = sum_by_slot(points.mapInArrow(_assign_and_sum(runs, dim), SLOT_SCHEMA), slots)
+    rows = sum_by_slot(points.mapInArrow(_assign_and_sum(runs, dim), SLOT_SCHEMA), slots, dim, tasks)
     return {slot: (n, cost, total) for slot, n, cost, total in rows}
 
 
 SLOT_SCHEMA = "slot int, n bigint, cost double, total array<double>"
 
 
-def sum_by_slot(partial: DataFrame, slots: int) -> list[tuple[int, int, float, np.ndarray]]:
-    """Add up what the tasks found per slot. Slots are dealt over the cores, each summed as it streams in."""
-    cores = partial.sparkSession.sparkContext.defaultParallelism
-    summed = partial.repartition(min(cores, slots), "slot").mapInArrow(_add_up, SLOT_SCHEMA).toArrow()
+def sum_by_slot(partial: DataFrame, slots: int, dim: int, tasks: int) -> list[tuple[int, int, float, np.ndarray]]:
+    """Add up what ``tasks`` tasks found per slot; slots are dealt out, and each is summed as it streams in."""
+    if tasks > 1:
+        share = -(-slots * dim * 8 * tasks // TASK_BYTES)
+        cores = partial.sparkSession.sparkContext.defaultParallelism
+        partial = partial.repartition(min(share, slots, cores), "slot").mapInArrow(_add_up, SLOT_SCHEMA)
+    summed = partial.toArrow()
     return list(zip(summed.column("slot").to_pylist(), summed.column("n").to_pylist(),
                     summed.column("cost").to_pylist(), list_matrix(summed.column("total"))))
 

@@ -20,7 +20,7 @@ from corpusfold.session import write_shared
 # Up to this many rows the silhouette uses plain Euclidean distances of all pairs.
 EXACT_LIMIT = 10_000
 # Rows on either side of one block of that comparison.
-TILE_ROWS = 2_000
+TILE_ROWS = 1_000
 
 METRICS = "k int, distortion double, silhouette double, calinski double"
 
@@ -88,7 +88,8 @@ def _label_matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 def _groups(points: DataFrame, dim: int, ks: list[int]) -> Groups:
     first = np.cumsum([0] + ks)
-    sums = sum_by_slot(points.mapInArrow(_sums(ks, dim), SLOT_SCHEMA), sum(ks))
+    sums = sum_by_slot(points.mapInArrow(_sums(ks, dim), SLOT_SCHEMA), sum(ks), dim,
+                       points.rdd.getNumPartitions())
     n, mean = np.zeros(first[-1]), np.zeros((first[-1], dim))
     for slot, count, _, total in sums:
         n[slot], mean[slot] = count, total / count
@@ -182,7 +183,7 @@ def _silhouette_squared(points: DataFrame, dim: int, groups: Groups) -> list[flo
 
 
 def _silhouette_exact(points: DataFrame, dim: int, ks: list[int], groups: Groups) -> list[float]:
-    """Every row against every block of rows; no pair ever becomes a row.
+    """Every block of rows against every other, once; no pair ever becomes a row.
 
     Rows are dealt evenly into blocks, so each task meets two blocks of bounded size and hands on
     one array of summed distances per row: all labellings share each distance.
@@ -194,20 +195,26 @@ def _silhouette_exact(points: DataFrame, dim: int, ks: list[int], groups: Groups
     numbered = write_shared(points.withColumn("row", F.monotonically_increasing_id()), "silhouette_rows")
     numbered = numbered.withColumn(
         "tile", F.pmod(F.xxhash64("row"), F.lit(tiles)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = numbered.withColumns({"other": every})
-    right = numbered.withColumnRenamed("tile", "other").withColumn("tile", every)
+    left = numbered.withColumn("other", F.explode(F.sequence("tile", F.lit(tiles - 1))))
+    right = numbered.withColumnRenamed("tile", "other").withColumn(
+        "tile", F.explode(F.sequence(F.lit(0), "other")))
 
-    def block(a: pa.Table, b: pa.Table) -> pa.Table:
-        sums, start = np.zeros((a.num_rows, slots)), 0
+    def block(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        here, there = np.zeros((a.num_rows, slots)), np.zeros((b.num_rows, slots))
+        i = 0
         for part, x in _slices(a, dim):
+            j, own = 0, _members(_label_matrix(part) + first, slots)
             for other, y in _slices(b, dim):
                 distance = np.sqrt(squared_distances(x, y))
                 # A row's distance to itself is nought, which the expanded form may miss.
                 distance[np.equal.outer(part.column("row").to_numpy(), other.column("row").to_numpy())] = 0.0
-                sums[start:start + len(x)] += distance @ _members(_label_matrix(other) + first, slots)
-            start += len(x)
-        return pa.table({"row": a.column("row"), "labels": a.column("labels"), "sums": list_array(sums)})
+                here[i:i + len(x)] += distance @ _members(_label_matrix(other) + first, slots)
+                there[j:j + len(y)] += distance.T @ own
+                j += len(y)
+            i += len(x)
+        found = _block_sums(a, here)
+        # A block met with itself has both directions in one.
+        return found if key[0].as_py() == key[1].as_py() else pa.concat_tables([found, _block_sums(b, there)])
 
     partial = (left.groupBy("tile", "other").cogroup(right.groupBy("tile", "other"))
                .applyInArrow(block, "row bigint, labels array<int>, sums array<double>"))
@@ -228,6 +235,10 @@ def _silhouette_exact(points: DataFrame, dim: int, ks: list[int], groups: Groups
     return _mean_scores(rows_with_sums.mapInArrow(score, SCORE_SCHEMA), rows, len(ks))
 
 
+def _block_sums(block: pa.Table, sums: np.ndarray) -> pa.Table:
+    return pa.table({"row": block.column("row"), "labels": block.column("labels"), "sums": list_array(sums)})
+
+
 def _slices(table: pa.Table, dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in table.to_batches():
         yield from dense_slices(batch, dim)

@@ -166,6 +166,53 @@ candidates AS MATERIALIZED (
 ranked AS MATERIALIZED (SELECT *, row_number() OVER (
     PARTITION BY cluster ORDER BY round(log_score, 9), keyword) AS rank FROM candidates)"""
 
+# The hash Spark's HashingTF applies to a word (Murmur3, 32 bits, seed 42), on the word's bytes in hex.
+MASK = "4294967295"
+
+
+def _turn(value: str, bits: int) -> str:
+    return f"(((({value}) << {bits}) | (({value}) >> {32 - bits})) & {MASK})"
+
+
+def _times(value: str, factor: int) -> str:
+    return f"((({value}) * {factor}::UBIGINT) & {MASK})"
+
+
+def _mixed(value: str) -> str:
+    return _times(_turn(_times(value, 0xCC9E2D51), 15), 0x1B873593)
+
+
+def _byte(at: str) -> str:
+    return f"('0x' || substring(bytes, 2 * ({at}) + 1, 2))::UBIGINT"
+
+
+BUCKETS = f"""
+words AS MATERIALIZED (SELECT path, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS word FROM
+    (SELECT {PATH} AS path, repeat({PATH}, 2) || ' ' || text AS text FROM documents)),
+spelled AS MATERIALIZED (SELECT word, hex(word) AS bytes, len(hex(word)) // 2 AS n FROM (SELECT DISTINCT word FROM words)),
+blocks AS MATERIALIZED (SELECT word, n, list_reduce(list_prepend(42::UBIGINT, list_transform(range(n // 4), lambda i:
+        {_byte('4 * i')} + {_byte('4 * i + 1')} * 256 + {_byte('4 * i + 2')} * 65536 + {_byte('4 * i + 3')} * 16777216)),
+    lambda h, k: ({_turn(f"xor(h, {_mixed('k')})", 13)} * 5 + 3864292196) & {MASK}) AS h,
+    CASE WHEN n % 4 > 0 THEN {_byte('n - n % 4')} ELSE 0 END
+      + CASE WHEN n % 4 > 1 THEN {_byte('n - n % 4 + 1')} * 256 ELSE 0 END
+      + CASE WHEN n % 4 > 2 THEN {_byte('n - n % 4 + 2')} * 65536 ELSE 0 END AS tail FROM spelled),
+ends AS MATERIALIZED (SELECT word, xor(xor(h, {_mixed('tail')}), n::UBIGINT) AS h FROM blocks),
+ends1 AS MATERIALIZED (SELECT word, {_times('xor(h, h >> 16)', 0x85EBCA6B)} AS h FROM ends),
+ends2 AS MATERIALIZED (SELECT word, {_times('xor(h, h >> 13)', 0xC2B2AE35)} AS h FROM ends1),
+hashed AS MATERIALIZED (SELECT word, CAST(xor(h, h >> 16) % 1024 AS INTEGER) AS bucket FROM ends2),
+counts AS MATERIALIZED (SELECT path, bucket, count(*) AS tf FROM words JOIN hashed USING (word) GROUP BY ALL),
+weights AS MATERIALIZED (SELECT path, bucket, tf * ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (df + 1)) AS w
+    FROM counts JOIN (SELECT bucket, count(*) AS df FROM counts GROUP BY bucket) USING (bucket)),
+norms AS (SELECT path, sqrt(sum(w * w)) AS norm FROM weights GROUP BY path)"""
+
+DISTINCT = f"""{SCORES},
+orders AS (SELECT cluster, list([keyword] ORDER BY rank) AS phrases FROM ranked GROUP BY cluster),
+kept AS (SELECT cluster, list_reduce(list_prepend(CAST([] AS VARCHAR[]), phrases), lambda kept, p:
+    CASE WHEN len(kept) >= 5 OR len(list_filter(kept, lambda k:
+        1 - levenshtein(k, p[1]) / CAST(greatest(length(k), length(p[1])) AS DOUBLE) > 0.9)) > 0
+    THEN kept ELSE list_concat(kept, p) END) AS kept FROM orders),
+chosen AS (SELECT cluster, CAST(generate_subscripts(kept, 1) AS INTEGER) AS place, unnest(kept) AS keyword FROM kept)"""
+
 ORACLES: dict[str, str] = {
     "corpus_scan": f"SELECT {PATH} AS path, text AS content FROM documents",
     "noise_filter": f"""WITH {URLS} SELECT page_id, rel_path FROM urls
@@ -237,6 +284,11 @@ ORACLES: dict[str, str] = {
         round(log_score, 6) AS log_score FROM candidates""",
     "keyword_topk": f"""WITH {SCORES} SELECT cluster, CAST(rank AS INTEGER) AS rank, keyword,
         round(log_score, 6) AS log_score FROM ranked WHERE rank <= 25""",
+    "keyword_distinct": f"""WITH {DISTINCT}
+        SELECT cluster, place AS rank, keyword, round(log_score, 6) AS log_score
+        FROM chosen JOIN ranked USING (cluster, keyword)""",
+    "embed_tfidf": f"""WITH {BUCKETS} SELECT path, bucket,
+        round(CASE WHEN norm > 0 THEN w / norm ELSE w END, 6) AS weight FROM weights JOIN norms USING (path)""",
     "folder_name": f"""WITH {SCORES},
         best AS (SELECT cluster, replace(string_agg(keyword, '_' ORDER BY rank), ' ', '_') AS name
             FROM ranked WHERE rank <= 2 GROUP BY cluster),

@@ -343,9 +343,9 @@ def tree_scan(spark, sf):
 
 
 def embed_tfidf(spark, sf):
-    return embed.embed(_named_texts(spark, sf)).vectors.select(
-        "path", F.unwrap_udt("features")["indices"].alias("buckets"),
-        F.unwrap_udt("features")["values"].alias("weights"))
+    raw = F.unwrap_udt("features")
+    cells = F.inline(F.arrays_zip(raw["indices"].alias("bucket"), raw["values"].alias("weight")))
+    return _rounded(embed.embed(_named_texts(spark, sf)).vectors.select("path", cells))
 
 
 def _named_texts(spark, sf):
