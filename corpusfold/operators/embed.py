@@ -19,8 +19,9 @@ _SEPARATOR = r"[^\p{L}\p{M}\p{N}]+"
 
 
 class Embedding(NamedTuple):
-    """``vectors``: one row per id with ``features``. ``apply`` gives a row of text its vector without a
-    shuffle; it is None where that is impossible or dear, and then vectors are joined by id."""
+    """``vectors``: one row per id with ``features``, a written table or a few narrow steps from one.
+    ``apply`` gives a row of text its vector without a shuffle; it is None where that is impossible
+    or dear, and then vectors are joined by id."""
     vectors: DataFrame
     apply: Callable[[DataFrame], DataFrame] | None
 
@@ -34,7 +35,8 @@ def embed(texts: DataFrame, encoder="tfidf", id_col: str = "path", text_col: str
     function from a list of texts to a list of vectors, called on Arrow batches on the workers.
     """
     if isinstance(encoder, DataFrame):
-        return Embedding(embedding_join(texts.select(id_col), encoder, id_col), None)
+        ids = texts.select(id_col).distinct() if "parts" in texts.columns else texts.select(id_col)
+        return Embedding(write_shared(embedding_join(ids, encoder, id_col), "vectors"), None)
     if encoder == "tfidf":
         return _tfidf(texts, id_col, text_col, num_features)
     if encoder == "word2vec":
@@ -95,7 +97,8 @@ def _word2vec(texts: DataFrame, id_col: str, text_col: str, num_features: int) -
     def apply(df: DataFrame) -> DataFrame:
         return model.transform(words.transform(df)).drop("_words")
 
-    return Embedding(apply(texts.select(id_col, text_col)), apply)
+    vectors = apply(spread(texts.select(id_col, text_col))).select(id_col, "features")
+    return Embedding(write_shared(vectors, "vectors"), apply)
 
 
 def _encoded(texts: DataFrame, encoder: Callable, id_col: str, text_col: str) -> Embedding:
