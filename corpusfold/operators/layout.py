@@ -44,7 +44,7 @@ def organize_plan(structure: DataFrame, listing: DataFrame, source_dir: str,
     into_itself = F.startswith("destination", F.concat("source", F.lit("/")))
     status = (F.when(~F.col("source_present"), "missing").when(F.col("destination_present"), "exists")
               .when(into_itself, "self").otherwise("move"))
-    return plan.withColumn("status", status).drop("source_present", "destination_present")
+    return plan.select("folder", "path", "source", "destination", status.alias("status"))
 
 
 def undo_plan(manifest: DataFrame, listing: DataFrame) -> DataFrame:

@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_root: str | None = None
-
 
 def working_root(spark: SparkSession) -> str:
-    """Folder shared by all executors, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting gets a folder of its own.
-    """
-    global _local_root
+    """Folder shared by all executors: ``spark.checkpoint.dir``, else one under the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    root = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="corpusfold-")
-    return _local_root
+    return root.rstrip("/") + "/_working"
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
+from corpusfold.functions.stopwords import ENGLISH
 from corpusfold.suite.queries import EXTENSIONS, GLOBS, KS, MAX_FRAMES, SOURCE_DIR, TARGET_DIR
 
 
-def english_stop_words() -> list[str]:
-    """Spark's own list, read from its jar so that no session is needed."""
-    jar, = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        words = archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8")
-    return [w for w in words.splitlines() if w]
-
-
 def _quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -111,7 +98,7 @@ EUCLIDEAN = "list_distance(a.e, b.e)"
 SQUARED = "list_distance(a.e, b.e) * list_distance(a.e, b.e)"
 SWEEP = f"{CELLS}, {_labellings(f'range({KS[0]}, {KS[-1] + 1})')}, {SPREADS}, {_silhouettes(EUCLIDEAN)}"
 
-STOP = f"(word IN ({_quoted(english_stop_words())}) OR length(word) < 3)"
+STOP = f"(word IN ({_quoted(ENGLISH)}) OR length(word) < 3)"
 WORDS = r"""
 split_ AS (SELECT doc_id, lang AS cluster, list_filter(list_transform(
     string_split_regex(text, '[.!?]+(?:[ \t\n\f\r]+|\z)|\n+'),

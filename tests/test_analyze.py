@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, StopWordsRemover
 from pyspark.sql import functions as F
 
 from corpusfold.operators.embed import embed
@@ -12,7 +12,6 @@ from corpusfold.operators.text import weighted_text
 from corpusfold.plans.analyze import analyze, analyze_tree, segment_transcripts
 from corpusfold.session import broadcast_if_small, working_root, write_shared
 from corpusfold.streaming.prepare import prepare_stream
-from corpusfold.suite import oracles
 
 TOPICS = {"sun": "solar panel energy heat light power", "bread": "flour dough water yeast oven bake",
           "sea": "ship harbour sail wave anchor tide"}
@@ -150,4 +149,4 @@ def test_working_root_and_size_checked_broadcast(spark):
 
 
 def test_stop_words_of_the_sql_are_those_of_spark(spark):
-    assert oracles.english_stop_words() == default_stop_words()
+    assert StopWordsRemover.loadDefaultStopWords("english") == default_stop_words()

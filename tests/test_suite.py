@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -21,7 +23,7 @@ def db(tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(suite.oracle_sql()))
 def test_query_agrees_with_its_sql(spark, db, name):
     found, wanted = suite.queries()[name](spark, SMALL).toPandas(), db.execute(suite.oracle_sql()[name]).df()
-    assert sorted(found.columns) == sorted(wanted.columns)
+    assert list(found.columns) == list(wanted.columns)
     assert rows(found) == rows(wanted)
 
 
@@ -29,3 +31,14 @@ def test_flagship_has_a_row_per_document(spark):
     found = suite.entry(spark)
     assert found.columns == ["folder_order", "folder", "path"]
     assert found.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_entry_imports_without_a_jvm_and_without_spark_s_jars(tmp_path):
+    """In a fresh process, from another folder, with nothing that could start Java or be unpacked."""
+    root = os.path.dirname(os.path.abspath(suite.__file__))
+    code = ("import glob, subprocess, zipfile\n"
+            "def refuse(*a, **b): raise AssertionError('read at import')\n"
+            "glob.glob = zipfile.ZipFile.__init__ = subprocess.Popen.__init__ = refuse\n"
+            "import __spark_entry__ as e\n"
+            "assert len(e.oracle_sql()) >= 37 and set(e.oracle_sql()) <= set(e.queries())")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=os.environ | {"PYTHONPATH": root})
