@@ -24,7 +24,7 @@ REGISTERS = BANDS * ROWS
 # four standard deviations below the wanted similarity.
 AGREE = int(REGISTERS * (SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5))
 # Members of one bucket compared in one task; larger buckets are compared by blocks of them.
-BLOCK = 2048
+BLOCK = 1024
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -187,34 +187,55 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _unlinked_pairs(members: DataFrame) -> DataFrame:
-    """All pairs ``a, b`` of a bucket with different labels whose signatures agree well.
+def _find(roots: dict[int, int], x: int) -> int:
+    while (up := roots.setdefault(x, x)) != x:
+        roots[x] = roots[up]
+        x = roots[x]
+    return x
 
-    ``members``: ``key, id, label, signature, blocks``. A bucket of more than ``BLOCK`` members is dealt
-    into blocks, and each pair of blocks is compared by a task.
+
+def _links_left(members: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` between members of one bucket that have different labels.
+
+    ``members``: ``key, id, label, signature, text, blocks``. Pairs whose signatures agree well are verified, those that
+    agree best first, and a pair is left out once its two labels are linked. A bucket of more than ``BLOCK``
+    members is dealt into blocks, and each pair of blocks is compared by a task.
     """
     def compare(group: pa.Table) -> pa.Table:
         ids, labels = group["id"].to_numpy(), group["label"].to_numpy()
         marks = np.frombuffer(b"".join(group["signature"].to_pylist()), "<u2").reshape(len(ids), REGISTERS)
         block, low, high = group["block"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        a, b = [], []
+        found = [np.zeros((3, 0), np.int64)]
         for i in left:
-            near = right[((marks[right] == marks[i]).sum(1) >= AGREE) & (labels[right] != labels[i])]
-            if low == high:
-                near = near[ids[near] > ids[i]]
-            a.append(np.minimum(ids[i], ids[near]))
-            b.append(np.maximum(ids[i], ids[near]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a + none), "b": np.concatenate(b + none)})
+            agree = (marks[right] == marks[i]).sum(1)
+            near = (agree >= AGREE) & (labels[right] != labels[i]) & ((low < high) | (ids[right] > ids[i]))
+            found.append(np.stack([-agree[near], np.full(near.sum(), i), right[near]]))
+        pairs = np.concatenate(found, 1)
+        pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+        texts, sets, roots = group["text"], {}, {}
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in sets:
+                sets[i] = shingles(texts[i].as_py() or "")
+            return sets[i]
+
+        links: list[tuple[int, int]] = []
+        for _, i, j in pairs.T.tolist():
+            u, v = _find(roots, int(labels[i])), _find(roots, int(labels[j]))
+            if u != v and probability_jaccard(of(i), of(j)) >= similarity:
+                roots[u] = v
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     lower = F.transform(F.sequence(F.lit(0), F.col("block")), lambda x: F.struct(x.alias("low"), F.col("block").alias("high")))
     upper = F.transform(F.sequence(F.col("block"), (F.col("blocks") - 1).cast("int")),
                         lambda x: F.struct(F.col("block").alias("low"), x.alias("high")))
     return (members.withColumn("block", own).withColumn("task", F.explode(F.array_distinct(F.concat(lower, upper))))
-            .select("key", "id", "label", "signature", "block", "task.low", "task.high")
-            .groupBy("key", "low", "high").applyInArrow(compare, "a bigint, b bigint")).distinct()
+            .select("key", "id", "label", "signature", "text", "block", "task.low", "task.high")
+            .groupBy("key", "low", "high").applyInArrow(compare, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +249,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     gives no rows.
 
     No bucket is expanded into all its pairs: first each member is compared with the least of its bucket, then,
-    in buckets that are still not of one class, members of different classes whose signatures agree.
+    in buckets that are still not of one class, members of different classes whose signatures agree, until they are linked.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sketched = write_shared(_sketches(rows), "sketches")
@@ -248,12 +269,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least")
     mixed = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .filter("lo <> hi").select("key"))
-    open_ = (labelled.join(mixed, "key").join(different.select("id", "signature"), "id")
+    open_ = (labelled.join(mixed, "key").join(different.select("id", "signature"), "id").join(texts.select("id", "text"), "id")
              .withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")))
-    more = write_shared(_unlinked_pairs(open_).join(stars, ["a", "b"], "left_anti"), "more")
-    second = write_shared(_verified(more, texts, similarity), "links")
-    if second.limit(1).count():
-        labels = components(links.unionByName(second))
+    more = write_shared(_links_left(open_, similarity), "links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     # Copies follow their first, firsts follow their class; null ids stand alone.
     first_class = firsts.join(labels, "id", "left").select("digest", F.coalesce("least", "id").alias("class_id"))
     rows_out = named.select("id", "digest").join(first_class, "digest").select(F.col("id").alias("doc_id"), "class_id")
