@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,15 +10,21 @@ import numpy as np
 _LOADED: dict[str, "Encoder"] = {}
 
 
+# A chunk of such characters has the words that WORDS finds, as the tokenizer's own pattern does; all others go to
+# the tokenizer as they are. Letters and digits of Latin-1 are fixed values.
+PLAIN = re.compile("[!-~\xa1-\xff]*")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, the same as ``Tokenizer.encode`` gives.
 
-    Its tokenizers never join what stands on two sides of a blank, so texts are cut at spaces, tabs and line
-    ends, and each different piece goes through the tokenizer once. What is known is forgotten when it
-    grows past ``LIMIT`` pieces; long pieces are not kept.
+    For a tokenizer with word ends that lowers letters: it never joins what stands on two sides of a blank, nor
+    letters with other signs, so each different chunk and word is encoded once per worker. Past ``LIMIT``
+    entries only what the last slice of texts had is remembered; long chunks are not kept.
     """
 
-    LIMIT, LONG, SLICE = 400_000, 64, 1_000_000
+    LIMIT, LONG, SLICE = 1_000_000, 64, 1_000_000
 
     def __init__(self, path: str):
         import os
@@ -26,20 +33,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in one go: each ends with an id that ends a word."""
+        lines = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) != len(words):
+            self.words.update(zip(words, self._encode(words)))
+            return
+        data = ids.tobytes()
+        self.words.update((w, data[4 * a:4 * b]) for w, a, b in zip(words, [0, *stops], stops))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        cut = []
+        for t in texts:
+            try:
+                t.encode("latin-1")
+                t = t.lower()
+            except UnicodeEncodeError:
+                pass  # other letters are lowered by the tokenizer's own rules
+            cut.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        new = set().union(*cut).difference(self.known)
+        plain = [c for c in new if "<|" not in c and PLAIN.fullmatch(c)]
+        other = list(new.difference(plain))
+        parts = [WORDS.findall(c.lower()) for c in plain]
+        words = list(set().union(*parts).difference(self.words))
+        if words:
+            self._learn(words)
+        self.known.update(zip(plain, (b"".join(map(self.words.__getitem__, p)) for p in parts)))
+        self.known.update(zip(other, self._encode(other)))
+        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
+        for c in new:
+            if len(c) > self.LONG:
+                del self.known[c]
+        # What the last texts had is what the next ones are likely to have.
         if len(self.known) > self.LIMIT:
-            self.known = {"": b""}
-        else:
-            for w in new:
-                if len(w) > self.LONG:
-                    del self.known[w]
+            self.known = {c: self.known[c] for c in set().union(*cut) if c in self.known} | {"": b""}
+        if len(self.words) > self.LIMIT:
+            self.words = {w: self.words[w] for w in words}
         return out
 
     def stream(self, texts: Iterable[str | None]) -> Iterator[bytes]:
