@@ -42,7 +42,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity:
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for doc, data in zip(ids, encode.stream(t.as_py() for t in batch.column(1))):
+            for doc, data in zip(ids, encode.stream(batch.column(1))):
                 data += end
                 for at in range(0, len(data), step):
                     piece = data[at:at + step]

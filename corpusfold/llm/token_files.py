@@ -168,7 +168,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, root: str | None = None,
                 store.create_dir(inner, recursive=True)
                 out = store.open_output_stream(f"{inner}/{path}")
                 out.write(MAGIC)
-            for data in encode.stream(t.as_py() for t in batch.column(1)):
+            for data in encode.stream(batch.column(1)):
                 out.write(np.frombuffer(data + end, "<u4").astype(f"<u{width}").tobytes())
                 lengths.append(len(data) // 4 + 1)
             nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))

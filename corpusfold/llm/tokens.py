@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOADED: dict[str, "Encoder"] = {}
 
@@ -24,7 +27,7 @@ class Encoder:
     entries only what the last slice of texts had is remembered; long chunks are not kept.
     """
 
-    LIMIT, LONG, SLICE = 1_000_000, 64, 1_000_000
+    LIMIT, LONG, SLICE = 1_000_000, 64, 16_000_000
 
     def __init__(self, path: str):
         import os
@@ -55,45 +58,57 @@ class Encoder:
         data = ids.tobytes()
         self.words.update((w, data[4 * a:4 * b]) for w, a, b in zip(words, [0, *stops], stops))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            try:
-                t.encode("latin-1")
-                t = t.lower()
-            except UnicodeEncodeError:
-                pass  # other letters are lowered by the tokenizer's own rules
-            cut.append(t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-        new = set().union(*cut).difference(self.known)
+    def _find(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks."""
+        new = [c for c in chunks if c not in self.known]
         plain = [c for c in new if "<|" not in c and PLAIN.fullmatch(c)]
-        other = list(new.difference(plain))
+        other = list(set(new).difference(plain))
         parts = [WORDS.findall(c.lower()) for c in plain]
         words = list(set().union(*parts).difference(self.words))
         if words:
             self._learn(words)
         self.known.update(zip(plain, (b"".join(map(self.words.__getitem__, p)) for p in parts)))
         self.known.update(zip(other, self._encode(other)))
-        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
+        out = [*map(self.known.__getitem__, chunks)]
         for c in new:
             if len(c) > self.LONG:
                 del self.known[c]
         # What the last texts had is what the next ones are likely to have.
         if len(self.known) > self.LIMIT:
-            self.known = {c: self.known[c] for c in set().union(*cut) if c in self.known} | {"": b""}
+            self.known = {"": b""} | {c: self.known[c] for c in chunks if c in self.known}
         if len(self.words) > self.LIMIT:
             self.words = {w: self.words[w] for w in words}
         return out
 
-    def stream(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """One by one, a slice of texts at a time. Null is an empty text."""
-        held, size = [], 0
-        for text in texts:
-            held.append(text or "")
-            size += len(held[-1])
-            if size >= self.SLICE:
-                yield from self(held)
-                held, size = [], 0
-        yield from self(held)
+    def _texts(self, texts: pa.Array) -> Iterator[bytes]:
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = chunks.flatten().dictionary_encode()
+        found = self._find(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(lengths) - lengths
+        at = coded.indices.to_numpy()
+        counts = lengths[at]
+        ends = np.r_[0, np.cumsum(counts)]
+        where = np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[where]
+        offsets = chunks.offsets.to_numpy()
+        bounds = ends[offsets - offsets[0]].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield ids[a:b].tobytes()
+
+    def stream(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, a slice of texts at a time. Null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        at, collects = 0, gc.isenabled()
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.SLICE)))
+            gc.disable()  # many small objects, no cycles
+            found = list(self._texts(texts.slice(at, stop - at)))
+            if collects:
+                gc.enable()
+            yield from found
+            at = stop
 
 
 def encoder(path: str) -> Encoder:
