@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusfold.session import broadcast_if_small
+from corpusfold.session import broadcast_if_small, write_shared
 
 # A line on more than this share of a host's pages is boilerplate...
 RATIO = 0.1
@@ -48,7 +48,8 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", rat
     """
     keyed = pages.withColumn("_host", host)
     found = boilerplate(keyed.select(F.col("_host").alias("host"), F.col(text_col).alias("text")), ratio, min_pages)
-    found = broadcast_if_small(found.select(F.col("host").alias("_site"), F.col("keys").alias("_keys")), 10_000)
+    found = write_shared(found.select(F.col("host").alias("_site"), F.col("keys").alias("_keys")), "boilerplate")
+    found = broadcast_if_small(found, 10_000)
     joined = keyed.join(found, F.col("_host").eqNullSafe(F.col("_site")), "left")
     lines = F.arrays_zip(F.split(text_col, "\n").alias("line"), line_keys(F.col(text_col)).alias("key"))
     kept = F.filter("_lines", lambda x: x["key"].isNull() | ~F.array_contains(F.col("_keys"), x["key"]))

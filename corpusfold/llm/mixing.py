@@ -57,7 +57,8 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    share = budget / total
+    # Room for a few items more lets the sums in reach meet the budget.
+    share = max(0, budget - min(EXACT, 4 * int(sizes.max()))) / total
     taken = np.floor(counts * share).astype(np.int64)
     left = budget - int((taken * sizes).sum())
     order = np.argsort(-(counts * share - taken), kind="stable")

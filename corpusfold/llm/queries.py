@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.llm import (exact_dedup, fingerprints, lines, minhash, mixing, packing, pii, sharding, token_files,
                             toxicity)
+from corpusfold.session import write_shared
 
 SHARDS = 16
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,8 +56,9 @@ def op8_toxicity(spark, sf):
 
 
 def op9_line_dedup(spark, sf):
-    pages = _table(spark, sf, "pages").select(
-        "page_id", lines.page_host(F.col("url")).alias("host"), lines.page_lines(F.col("html")).alias("text"))
+    # The lines are read twice, the pages once.
+    pages = write_shared(_table(spark, sf, "pages").select(
+        "page_id", lines.page_host(F.col("url")).alias("host"), lines.page_lines(F.col("html")).alias("text")), "page-lines")
     return lines.drop_boilerplate(pages, F.col("host")).select(
         "page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 

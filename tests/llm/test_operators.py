@@ -1,0 +1,435 @@
+"""Each dealt operator against a brute-force version, on small fixtures with nulls, ties, repeats and clashing names."""
+
+import hashlib
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from corpusfold.llm import (exact_dedup, fingerprints, lines, minhash, mixing, packing, pii, sharding, token_files,
+                            toxicity)
+from corpusfold.llm.common import range_of
+from corpusfold.llm.tokens import Encoder
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+# Further columns whose names the operators use inside.
+SCHEMA = "doc_id bigint, text string, source string, size bigint, row string, b int, label string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, s, 7, "x", 1, "y") for i, t, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def words():
+    rng = random.Random(3)
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+
+
+@pytest.fixture(scope="module")
+def rows(words):
+    rng = random.Random(4)
+    made = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 120))), f"s{i % 4}") for i in range(120)]
+    made += [(200 + i, made[i][1].upper() if i % 2 else made[i][1], "s0") for i in range(30)]
+    made += [(300, None, None), (301, "", "s1"), (302, "  \n ", "s2"), (303, "x" * 30000, "s3"),
+             (304, " ".join(rng.choice(words) for _ in range(9000)), "s0"), (None, "no id", "s1"), (5, made[5][1], "s1")]
+    return made
+
+
+def test_binary_search_of_splitters(spark):
+    splitters = [-5, 0, 0, 3, 9, 20]
+    found = spark.range(-10, 30).select("id", range_of(splitters, F.col("id")).alias("r")).collect()
+    assert all(r.r == sum(s <= r.id for s in splitters) for r in found)
+    assert spark.range(3).select(range_of([], F.col("id")).alias("r")).distinct().collect()[0].r == 0
+
+
+def test_exact_duplicates(spark, rows):
+    found = exact_dedup.exact_duplicates(table(spark, rows)).collect()
+    norm = [((t or "").translate(str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)), i) for i, t, _ in rows]
+    groups = {}
+    for text, i in norm:
+        groups.setdefault(text, []).append(-1 if i is None else i)
+    expected = Counter()
+    for text, i in norm:
+        ids = groups[text]
+        expected[(i, None if max(ids) < 0 else max(ids), len(ids), hashlib.sha256(text.encode()).hexdigest())] += 1
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == expected
+    kept = Counter(r.text_sha256 for r in found if r.kept)
+    assert set(kept.values()) == {1} and len(kept) == len(groups)
+    assert exact_dedup.exact_duplicates(table(spark, [])).count() == 0
+
+
+def test_unique_texts_pass_the_filter_unshuffled(spark):
+    marks = spark.range(20000).select(F.xxhash64("id").alias("mark"))
+    cells = exact_dedup.repeated_cells(marks.unionByName(marks.limit(10)), 10)
+    assert cells.count() >= 1 and cells.filter(F.octet_length("bits") != 4096).count() == 0
+
+
+def test_encoder_gives_the_tokenizer_s_ids():
+    encode, rng = Encoder(TOKENIZER), random.Random(5)
+    alphabet = " \n\t\r\v\f'sdmtlvreSTÀÉßÿªµº²³¹¼½¾0123.,!<|>endoftextΣσςİıŒœ́\xa0 ẞ中あ한\x00\x1c\x85\xad"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(50))) for _ in range(3000)]
+    texts += ["<|endoftext|>", "don't I'LL", "", " ", "x" * 5000, "ΑΣ ΑΣ."]
+    encode.LIMIT, encode.SLICE = 50, 300
+    found = list(encode.stream(pa.array([*texts, None])))
+    wanted = encode.tokenizer.encode_batch([*texts, ""], add_special_tokens=False)
+    assert found == [np.array(e.ids, "<u4").tobytes() for e in wanted]
+
+
+def all_ids(rows, end):
+    tokenizer = Encoder(TOKENIZER).tokenizer
+    return [(i, tokenizer.encode(t or "", add_special_tokens=False).ids + [end]) for i, t, _ in rows]
+
+
+def test_packing_cuts_and_places_every_id_once(spark, rows):
+    pieces = packing.document_pieces(table(spark, rows), TOKENIZER, capacity=512)
+    packed = packing.pack_pieces(pieces, 512, block_windows=8).collect()
+    texts = {}
+    for i, ids in all_ids(rows, 2):
+        texts.setdefault(i, []).append(ids)
+    for r in packed:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert r.length == len(ids) and any(t[r.start:r.start + r.length] == ids and len(t) == r.doc_tokens for t in texts[r.doc_id])
+    assert sum(r.length for r in packed) == sum(len(t) for ts in texts.values() for t in ts)
+    windows = {}
+    for r in packed:
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= 512
+    assert sum(r.length for r in packed) > 0.85 * 512 * len(windows)
+    assert packing.pack_pieces(packing.document_pieces(table(spark, []), TOKENIZER)).count() == 0
+    made = packing.sequences(packing.pack_pieces(pieces, 512, 8), 512).collect()
+    assert {len(r.ids) // 4 for r in made} <= {512} | {1 << k for k in range(10)} and len(made) == len(windows)
+
+
+def test_differencing_is_near_equal_and_complete():
+    rng = np.random.default_rng(1)
+    for n, k in ((1, 1), (5, 7), (40, 4), (300, 50)):
+        sizes = rng.integers(1, 1000, n)
+        windows = packing.karmarkar_karp(sizes, k)
+        sums = np.bincount(windows, sizes, minlength=k)
+        assert len(windows) == n and windows.max() < k
+        greedy = np.zeros(k)
+        for s in sorted(sizes, reverse=True):
+            greedy[greedy.argmin()] += s
+        assert np.ptp(sums) <= np.ptp(greedy) + 1
+    assert np.bincount(packing.fill_windows(np.array([60, 60, 60]), 100)).tolist() == [1, 1, 1]
+
+
+def test_token_files_round_trip(spark, rows, tmp_path):
+    docs = table(spark, rows)
+    manifest = token_files.write_token_files(docs, TOKENIZER, str(tmp_path / "ids"), shard_bytes=20_000)
+    assert manifest.count() > 3
+    found = token_files.read_token_files(manifest, docs)
+    key = lambda r: (-1 if r[0] is None else r[0])
+    wanted = sorted(all_ids(rows, 1), key=key)
+    assert Counter((r.doc_id, r.ids) for r in found.collect()) == Counter((i, np.array(x, "<u4").tobytes()) for i, x in wanted)
+    at = 0
+    for r in sorted(found.collect(), key=lambda r: (key(r), r.start)):
+        assert r.start == at and r.n_tokens == len(r.ids) // 4
+        at += r.n_tokens
+    absent = spark.createDataFrame([(999999,), (-4,)], "doc_id bigint")
+    assert token_files.read_token_files(manifest, absent).count() == 0
+    empty = token_files.write_token_files(table(spark, []), TOKENIZER, str(tmp_path / "none"))
+    assert token_files.read_token_files(empty, docs).count() == 0
+
+
+def test_perfect_hash_is_minimal():
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    perfect = token_files.PerfectHash.build(hashes)
+    assert sorted(perfect(hashes).tolist()) == list(range(5000))
+
+
+def test_fit_counts_finds_the_best_sum():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = np.sort(rng.choice(np.arange(1, 40), 5, replace=False))
+        counts = rng.integers(1, 5, 5)
+        budget = int(rng.integers(0, (sizes * counts).sum() + 1))
+        taken = mixing.fit_counts(sizes, counts, budget)
+        assert (taken >= 0).all() and (taken <= counts).all()
+        assert 0 <= budget - (taken * sizes).sum() < sizes.max()
+    assert (mixing.fit_counts(np.array([3, 5]), np.array([4, 4]), 17) * [3, 5]).sum() == 17
+
+
+def test_mixing_meets_targets(spark, rows):
+    rows = [r for r in rows if r[0] != 304]  # one document of three quarters of its source leaves few sums
+    docs = table(spark, rows)
+    found = mixing.mix(docs).collect()
+    size = {i: len(re.findall(mixing.WORD, t or "")) for i, t, _ in rows}
+    source = {}
+    for i, t, s in rows:
+        source[s] = source.get(s, 0) + len(re.findall(mixing.WORD, t or ""))
+    # The shares as the contract words them: by weight, stopping at twice the size, the excess shared again.
+    names = sorted(source, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_ = dict.fromkeys(names, 0.0), set(names)
+    left = 1.5 * sum(source.values())
+    while left > 1e-9:
+        total = sum(weight[s] for s in open_)
+        for s in open_:
+            target[s] += left * weight[s] / total
+        left = 0.0
+        for s in list(open_):
+            if target[s] >= 2 * source[s]:
+                left += target[s] - 2 * source[s]
+                target[s] = 2.0 * source[s]
+                open_.discard(s)
+    assert len(found) == len(rows)
+    taken = Counter()
+    by_size = {v: s for s, v in source.items()}
+    for r in found:
+        assert r.size == size[r.doc_id] and r.taken in (0, r.size, 2 * r.size)
+        s = by_size[r.source_size]
+        assert abs(r.target - target[s]) < 1e-6
+        taken[s] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 10 for s in names)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, found))
+    assert mixing.mix(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("slice_", [3, mixing.SLICE])
+def test_large_lengths_are_ranked_in_slices(spark, monkeypatch, slice_):
+    monkeypatch.setattr(mixing, "SLICE", slice_)
+    docs = spark.range(90).selectExpr("id AS doc_id", "'a b' AS text", "IF(id < 60, 'p', 'q') AS source")
+    found = mixing.mix(docs).groupBy("source_size").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert all(abs(r.t - r.g) < 2 for r in found)
+
+
+def test_shards_are_even_gapless_and_keep_equal_texts(spark, rows):
+    found = sharding.shard_by_size(table(spark, rows), 4).collect()
+    texts = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == texts
+    for k in range(4):
+        slots = sorted(r.slot for r in found if r.shard == k)
+        assert slots == list(range(len(slots)))
+    sums = [sum(r.size for r in found if r.shard == k) for k in range(4)]
+    assert max(sums) - min(sums) <= 2 * max(r.size for r in found)
+    assert sharding.shard_by_size(table(spark, []), 4).count() == 0
+
+
+def test_a_hot_text_is_spread_over_shards(spark):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'same text', concat('text ', id)) AS text")
+    found = sharding.shard_by_size(docs, 4).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    sums = [r.b for r in found]
+    assert len(sums) == 4 and max(sums) < 1.05 * min(sums)
+
+
+def test_fingerprints(spark, rows):
+    docs = table(spark, [r for r in rows if r[0] is not None and r[0] != 5])
+    found = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    plain = sorted((i, t or "") for i, t, _ in rows if i is not None and i != 5)
+    for (i, text), (_, after) in zip(plain, plain[1:] + plain[:1]):
+        edit = len(text) // 4
+        edited = text[:len(text) - edit] + after[:edit]
+        r = found[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    long_ = [found[i] for i, t in plain if len(t.split()) > 60]
+    assert min(r.near_edited for r in long_) > 0.4 and max(r.near_next for r in long_) < 0.4
+    texts = {}
+    for i, t in plain:
+        texts.setdefault(t.lower(), set()).add(found[i].fingerprint)
+    assert all(len(v) == 1 for v in texts.values())
+    one = fingerprints.fingerprint_edits(table(spark, [(1, "a b c d e f", "s")])).collect()[0]
+    assert one.near_next == 1.0
+    assert fingerprints.fingerprint_edits(table(spark, [])).count() == 0
+
+
+def test_next_texts_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", 10)
+    docs = spark.range(95).selectExpr("id * id AS doc_id", "concat('t', id) AS text")
+    found = {r.doc_id: r.next_text for r in fingerprints.with_next(docs).collect()}
+    assert found == {i * i: f"t{(i + 1) % 95}" for i in range(95)}
+
+
+def test_sketches_merge_and_estimate_containment(spark):
+    left, right = " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(2000, 2400))
+    r = spark.createDataFrame([(left, right)], "a string, b string").select(
+        fingerprints.sketch(F.col("a")).alias("a"), fingerprints.sketch(F.col("b")).alias("b")).select(
+        fingerprints.containment(F.col("a"), F.col("b")).alias("c"), fingerprints.merge(F.col("a"), F.col("b")).alias("m"),
+        "a").first()
+    assert r.c > 0.93 and abs(len(r.a) - 750) < 100 and set(r.a) <= set(r.m)
+
+
+def near_fixture(words):
+    rng = random.Random(8)
+    base = [[rng.choice(words) for _ in range(150)] for _ in range(30)]
+    rows = []
+    for i, b in enumerate(base):
+        rows.append((10 * i, " ".join(b), "s"))
+        for k in range(1, 4):
+            copy = list(b)
+            for _ in range(2 * k):
+                copy[rng.randrange(150)] = rng.choice(words)
+            rows.append((10 * i + k, " ".join(copy), "s"))
+    return rows + [(1000, rows[0][1].upper(), "s"), (1001, None, "s"), (1002, "", None), (1003, "one", "s"), (1004, "One ", "s"),
+                   (1005, "a a a a a a a a", "s"), (None, "no id", "s")]
+
+
+def classes_by_brute_force(rows):
+    ids = [r[0] for r in rows if r[0] is not None]
+    sets = {i: minhash.shingles(t or "") for i, t, _ in rows if i is not None}
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a in ids:
+        for b in ids:
+            if a < b and find(a) != find(b) and minhash.probability_jaccard(sets[a], sets[b]) >= 0.8:
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates(spark, words):
+    rows = near_fixture(words)
+    found = minhash.near_duplicates(table(spark, rows)).collect()
+    wanted = classes_by_brute_force(rows)
+    assert {r.doc_id: r.class_id for r in found if r.doc_id is not None} == wanted
+    sizes = Counter(wanted.values())
+    assert all(r.class_size == sizes[r.class_id] and r.kept == (r.doc_id == r.class_id) for r in found if r.doc_id is not None)
+    assert len(found) == len(rows)
+    assert minhash.near_duplicates(table(spark, [])).count() == 0
+
+
+def test_large_buckets_are_compared_by_blocks(spark, words, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = random.Random(9)
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(0, " ".join(base), "s")]
+    for i in range(1, 40):
+        copy = list(base)
+        for at in rng.sample(range(120), 3):
+            copy[at] = f"z{i}x{at}"
+        rows.append((i, " ".join(copy), "s"))
+    found = minhash.near_duplicates(table(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in found} == classes_by_brute_force(rows)
+
+
+def test_probability_jaccard_and_its_estimate():
+    rng = np.random.default_rng(6)
+    errors = []
+    for _ in range(30):
+        a = np.unique(rng.integers(1, 1 << 60, 60, dtype=np.uint64))
+        b = np.unique(np.r_[a[:45], rng.integers(1, 1 << 60, 15, dtype=np.uint64)])
+        x, y = (a, rng.integers(1, 5, len(a))), (b, rng.integers(1, 5, len(b)))
+        p, q = dict(zip(a.tolist(), x[1].tolist())), dict(zip(b.tolist(), y[1].tolist()))
+        exact = sum(1 / sum(max(p.get(j, 0) / p[i], q.get(j, 0) / q[i]) for j in p.keys() | q.keys()) for i in p.keys() & q.keys())
+        assert abs(exact - minhash.probability_jaccard(x, y)) < 1e-9
+        s = minhash.signatures([x, y])
+        errors.append((s[0] == s[1]).mean() - exact)
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
+
+
+def test_boilerplate_lines(spark):
+    rows = [(i, f"Menu\n  own line {i}\n\nFooter \n{'shared' if i < 2 else 'x' + str(i)}", "h") for i in range(20)]
+    rows += [(100 + i, "Menu\nFooter", "h") for i in range(3)] + [(200, "Menu\nother", "small"), (201, None, "h"), (202, "", None)]
+    found = {r.doc_id: r for r in lines.drop_boilerplate(table(spark, rows), F.col("source")).collect()}
+    assert found[3].text == "  own line 3\n\nx3" and (found[3].n_lines, found[3].n_dropped) == (4, 2)
+    assert found[1].text == "  own line 1\n\nshared"
+    assert found[100].text == "Menu\nFooter" and found[100].n_dropped == 0
+    assert found[200].text == "Menu\nother" and found[201].text is None and found[202].n_lines == 0
+    assert lines.drop_boilerplate(table(spark, []), F.col("source")).count() == 0
+
+
+def test_pseudonyms_keep_format_and_link(spark):
+    text = ("4041894974608795 and 4041 8949 7460 8795, 4041894974608796; 42.144.35.254. Ab.22@mail7.example.com "
+            "+1 (626) 555-5759, 626-555-5759 2024-02-29 02/29/2024 29.02.2024 2024-02-30 1850-01-01 123-45-6789 "
+            "DE89370400440532013000 +49 30 1234567")
+    rows = [(1, text, "s"), (2, "see 42.144.35.254", "s"), (3, None, "s"), (4, "", "s"), (5, "v 1.2.3 of 2020", "s")]
+    found = {r.doc_id: r for r in pii.pseudonymise(table(spark, rows)).collect()}
+    old, new = text.split(), found[1].text.split()
+    assert len(old) == len(new) and [w for w in old if w in new] == ["and", "4041894974608796;", "+1", "2024-02-30", "1850-01-01", "+49"]
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    assert luhn(new[0]) and new[0] == "".join(new[2:6]).rstrip(",")
+    assert found[2].text.split()[1] == new[7].rstrip(".")
+    days = [new[i] for i, w in enumerate(old) if w in ("2024-02-29", "02/29/2024", "29.02.2024")]
+    y, m, d = days[0].split("-")
+    assert days[1:] == [f"{m}/{d}/{y}", f"{d}.{m}.{y}"]
+    iban = new[old.index("DE89370400440532013000")]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert found[3].text is None and found[4].text == "" and found[5].text == rows[4][1] and found[5].n_found == 0
+    assert pii.pseudonymise(table(spark, [])).count() == 0
+
+
+def test_digits_are_permuted_one_to_one(spark):
+    for n in (2, 3):
+        values = spark.range(10 ** n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
+        out = values.select(pii.permuted_digits(F.col("d"), "k", "key").alias("p")).distinct()
+        assert out.count() == 10 ** n and out.filter(F.length("p") != n).count() == 0
+    days = spark.range(17 * 4297).select(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")).alias("d"))
+    moved = days.select(pii._date(F.col("d").cast("string"), "key").alias("p")).distinct()
+    assert moved.count() == 17 * 4297 and moved.filter("p < '1900-01-01' OR p > '2099-12-31'").count() == 0
+
+
+def test_toxicity_learns_the_clauses_of_toxic_documents(spark, words):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(60)]
+        toxic = i % 8 == 0
+        if toxic:
+            for at in rng.sample(range(60), 3):
+                text[at] = rng.choice(["blorg", "frubbish", "idiot"])
+        rows.append((i, " ".join(text), "s"))
+        labels.append((i, 1, int(toxic)))
+    rows += [(900, None, "s"), (901, "", "s"), (None, "idiot", "s")]
+    marks = spark.createDataFrame(labels + [(3, None, None)], "doc_id bigint, quality int, toxic int")
+    docs = table(spark, rows)
+    found = toxicity.classify(docs, toxicity.learn(docs, marks)).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found if r.doc_id is not None)
+    held = [r for r in found if r.held_out and r.doc_id is not None and r.doc_id < 400]
+    assert np.mean([r.predicted == (r.doc_id % 8 == 0) for r in held]) > 0.97
+    untaught = toxicity.learn(docs, marks.limit(0))
+    assert untaught.score("you are an idiot and a moron. you worthless scum") > 0.5 > untaught.score("a calm day")
+
+
+def test_clauses_tell_targets_negations_and_reports_apart():
+    grammar = toxicity.Grammar({"lowei": 3.0}, {"idiot": 3.0, "kill": 3.0}, -2.0, dict(toxicity.KIND_PRIOR))
+    kinds = lambda text: [k for k, _ in grammar.events(text)]
+    assert kinds("an idiot.") == ["plain"] and kinds("You idiot! he is not an idiot") == ["targeted", "negated"]
+    assert kinds("they said he is an idiot; loweischaft") == ["reported", "plain"]
+    assert kinds("kill the lights") == [] and kinds("i will kill you") == ["targeted"]
+    assert grammar.score("you idiot") > grammar.score("an idiot") > grammar.score("not an idiot") > grammar.score("fine")
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    root = "/root/testdata/sf0.001"
+    if not os.path.isdir(root):
+        pytest.skip("test tables are not here")
+    docs = before = spark.read.parquet(f"{root}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, root).write.parquet(str(tmp_path / name))
+        docs, last = spark.read.parquet(str(tmp_path / name)), docs
+        if name != "packing":
+            assert docs.columns == before.columns
+    read = lambda name: spark.read.parquet(str(tmp_path / name)).collect()
+    rows = [(r.doc_id, r.text, r.source) for r in read("line_dedup")]
+    classes = classes_by_brute_force(rows)
+    assert sorted(r.doc_id for r in read("near_dedup")) == sorted(set(classes.values()))
+    mixed = [(r.doc_id, r.text, r.source) for r in last.collect()]
+    wanted = Counter()
+    for i, ids in all_ids(mixed, 2):
+        wanted[i] += len(ids)
+    found = Counter()
+    for r in docs.collect():
+        found[r.doc_id] += r.length
+    assert found == wanted
