@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusfold.operators.cluster import MAX_ITER, RESTARTS, SEED, Fit, assign_all, fit_all
-from corpusfold.operators.quality import EXACT_LIMIT, METRICS, labelling_metrics
+from corpusfold.operators.quality import METRICS, labelling_metrics
 
 MAX_CLUSTERS = 10
 
@@ -33,7 +33,7 @@ def candidate_ks(n: int, max_clusters: int = MAX_CLUSTERS) -> list[int]:
 
 def sweep_k(df: DataFrame, max_clusters: int = MAX_CLUSTERS, features: str = "features",
             restarts: int = RESTARTS, seed: int = SEED, max_iter: int = MAX_ITER,
-            silhouette: str = "auto", exact_limit: int = EXACT_LIMIT) -> Sweep:
+            silhouette: str = "squared") -> Sweep:
     """Best fit and metrics for every candidate k. Pass a written table of vectors."""
     n = df.count()
     ks = candidate_ks(n, max_clusters)
@@ -41,7 +41,7 @@ def sweep_k(df: DataFrame, max_clusters: int = MAX_CLUSTERS, features: str = "fe
         return Sweep(df.sparkSession.createDataFrame([], METRICS), [], n)
     fits = fit_all(df, ks, features, restarts, seed, max_iter)
     labelled = assign_all(df.select(features), [f.centers for f in fits], features)
-    return Sweep(labelling_metrics(labelled, ks, features, "labels", silhouette, exact_limit), fits, n)
+    return Sweep(labelling_metrics(labelled, ks, features, "labels", silhouette), fits, n)
 
 
 def k_candidates(metrics: DataFrame) -> DataFrame:

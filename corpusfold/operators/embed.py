@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, Word2Vec
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,25 +30,30 @@ def embed(texts: DataFrame, encoder="tfidf", id_col: str = "path", text_col: str
           num_features: int = NUM_FEATURES) -> Embedding:
     """Turn every text into a vector.
 
-    ``encoder`` is ``"tfidf"`` (hashed words, weighted, unit length), ``"word2vec"`` (averages of
-    vectors learnt from the corpus), a DataFrame of ready vectors (``id_col, features``), or a
-    function from a list of texts to a list of vectors, called on Arrow batches on the workers.
+    ``encoder`` is ``"tfidf"`` (hashed words, weighted, unit length), a DataFrame of ready vectors
+    (``id_col, features``; texts without a usable one have no row here), or a function from a list of texts to a list of vectors, called on Arrow batches on the workers.
     """
     if isinstance(encoder, DataFrame):
         ids = texts.select(id_col).distinct() if "parts" in texts.columns else texts.select(id_col)
-        return Embedding(write_shared(embedding_join(ids, encoder, id_col), "vectors"), None)
+        return Embedding(write_shared(usable(embedding_join(ids, encoder, id_col)), "vectors"), None)
     if encoder == "tfidf":
         return _tfidf(texts, id_col, text_col, num_features)
-    if encoder == "word2vec":
-        return _word2vec(texts, id_col, text_col, num_features)
     if callable(encoder):
         return _encoded(texts, encoder, id_col, text_col)
     raise ValueError(f"unknown encoder: {encoder!r}")
 
 
 def embedding_join(documents: DataFrame, vectors: DataFrame, id_col: str = "path") -> DataFrame:
-    """Documents with their ready vectors; ids are unique on the vector side."""
-    return documents.join(vectors.select(id_col, "features"), id_col)
+    """All documents with their ready vectors, null where there is none; ids are unique on the vector side."""
+    return documents.join(vectors.select(id_col, "features"), id_col, "left")
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows that have a vector, with no null in it."""
+    whole = vectors.filter("features IS NOT NULL")
+    if vectors.schema["features"].dataType.typeName() != "array":
+        return whole
+    return whole.filter(F.forall("features", lambda x: x.isNotNull()))
 
 
 def _words(text_col: str) -> RegexTokenizer:
@@ -86,21 +91,6 @@ def _merge_parts(tf: DataFrame, id_col: str) -> DataFrame:
     return tf.filter("parts = 1").select(id_col, "_tf").unionByName(many)
 
 
-def _word2vec(texts: DataFrame, id_col: str, text_col: str, num_features: int) -> Embedding:
-    _refuse_parts(texts)
-    words = _words(text_col)
-    tokens = words.transform(spread(texts.select(id_col, text_col)))
-    # The learnt table grows with the vocabulary; ML keeps it in 2 GB at most, so vectors are short.
-    model = Word2Vec(inputCol="_words", outputCol="features", vectorSize=min(num_features, 100),
-                     seed=42, minCount=1).fit(tokens)
-
-    def apply(df: DataFrame) -> DataFrame:
-        return model.transform(words.transform(df)).drop("_words")
-
-    vectors = apply(spread(texts.select(id_col, text_col))).select(id_col, "features")
-    return Embedding(write_shared(vectors, "vectors"), apply)
-
-
 def _encoded(texts: DataFrame, encoder: Callable, id_col: str, text_col: str) -> Embedding:
     _refuse_parts(texts)
 

@@ -48,8 +48,13 @@ def organize_plan(structure: DataFrame, listing: DataFrame, source_dir: str,
 
 
 def undo_plan(manifest: DataFrame, listing: DataFrame) -> DataFrame:
-    """``source, destination, status`` for every move: ``missing``, ``conflict`` or ``restore``."""
-    plan = _with_presence(manifest, listing, "source", "destination")
+    """``source, destination, status`` for every destination: ``missing``, ``conflict`` or ``restore``.
+
+    Of several moves to one destination the last counts, or the least source where no time is known.
+    """
+    latest = F.max_by("source", F.struct("moved_at", "source")) if "moved_at" in manifest.columns else F.min("source")
+    moves = manifest.groupBy("destination").agg(latest.alias("source"))
+    plan = _with_presence(moves, listing, "source", "destination")
     status = (F.when(~F.col("destination_present"), "missing")
               .when(F.col("source_present"), "conflict").otherwise("restore"))
     return plan.withColumn("status", status).select("source", "destination", "status")

@@ -17,9 +17,7 @@ from corpusfold.functions.vectors import (
 from corpusfold.operators.cluster import SLOT_SCHEMA, slot_batch, sum_by_slot
 from corpusfold.session import write_shared
 
-# Up to this many rows the silhouette uses plain Euclidean distances of all pairs.
-EXACT_LIMIT = 10_000
-# Rows on either side of one block of that comparison.
+# Rows on either side of one block of the exact silhouette.
 TILE_ROWS = 1_000
 
 METRICS = "k int, distortion double, silhouette double, calinski double"
@@ -33,22 +31,19 @@ class Groups(NamedTuple):
 
 
 def labelling_metrics(df: DataFrame, ks: Sequence[int], features: str = "features",
-                      labels: str = "labels", silhouette: str | None = "auto",
-                      exact_limit: int = EXACT_LIMIT) -> DataFrame:
+                      labels: str = "labels", silhouette: str | None = "squared") -> DataFrame:
     """One row per labelling: ``k, distortion, silhouette, calinski``.
 
     ``labels`` is an ``array<int>``; its j-th entry, in ``0 .. ks[j]-1``, is the row's cluster in the
     j-th labelling. Sums need two passes and are shared by all labellings. ``silhouette`` is
-    ``exact`` (Euclidean, every pair, in blocks), ``squared`` (squared Euclidean, one pass), ``auto``
-    (exact up to ``exact_limit`` rows) or None to leave it out.
+    ``squared`` (squared Euclidean, one pass), ``exact`` (Euclidean, every pair, in blocks: quadratic) or None to
+    leave it out.
     """
     ks = list(ks)
     dim = vector_size(df, features)
     points = pack(df.select(*vector_columns(df, features), F.col(labels).alias("labels")), dim)
     groups = _groups(points, dim, ks)
     n = int(groups.n[0].sum())
-    if silhouette == "auto":
-        silhouette = "exact" if n <= exact_limit else "squared"
     if silhouette is None:
         scores = [None] * len(ks)
     elif silhouette == "exact":
@@ -72,14 +67,14 @@ def calinski_harabasz(df: DataFrame, k: int, features: str = "features", cluster
 
 
 def silhouette(df: DataFrame, k: int, method: str = "exact", features: str = "features",
-               cluster: str = "cluster", exact_limit: int = EXACT_LIMIT) -> DataFrame:
+               cluster: str = "cluster") -> DataFrame:
     """Mean over all rows of (b - a) / max(a, b); a row alone in its cluster counts as 0."""
-    return _one_labelling(df, k, features, cluster, method, exact_limit).select("k", "silhouette")
+    return _one_labelling(df, k, features, cluster, method).select("k", "silhouette")
 
 
-def _one_labelling(df, k, features, cluster, method, exact_limit=EXACT_LIMIT) -> DataFrame:
+def _one_labelling(df, k, features, cluster, method) -> DataFrame:
     labelled = df.select(features, F.array(F.col(cluster).cast("int")).alias("labels"))
-    return labelling_metrics(labelled, [k], features, "labels", method, exact_limit)
+    return labelling_metrics(labelled, [k], features, "labels", method)
 
 
 def _label_matrix(batch: pa.RecordBatch) -> np.ndarray:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusfold.operators.layout import apply_plan, apply_undo, mark_organized, organize_plan, undo_plan
 from corpusfold.session import write_shared
@@ -35,10 +37,22 @@ def organize(structure: DataFrame, catalog: DataFrame, source_dir: str, target_d
 
 def undo(spark: SparkSession, manifest: str, catalog: DataFrame, run_id: str | None = None,
          array: bool = False) -> Organized:
-    """Reverse the moves of a manifest, or of one of its runs."""
+    """Reverse the moves of a manifest, the last run first, or of one of its runs.
+
+    The plan has a row per move and run; the catalogue keeps its rows.
+    """
     moves = read_manifest(spark, manifest, array)
-    if run_id is not None:
-        moves = moves.filter(moves["run_id"] == run_id)
-    listing = catalog.select(catalog["location"].alias("path"))
-    plan = write_shared(undo_plan(moves, listing), "undo_plan")
-    return Organized(plan, apply_undo(catalog, plan), run_id)
+    if "run_id" not in moves.columns:
+        runs = [moves]
+    else:
+        if run_id is not None:
+            moves = moves.filter(moves["run_id"] == run_id)
+        # One row per run.
+        ids = moves.groupBy("run_id").agg(F.max("moved_at").alias("at")).orderBy(F.desc("at"), "run_id").collect()
+        runs = [moves.filter(F.col("run_id").eqNullSafe(F.lit(r["run_id"]))) for r in ids] or [moves]
+    plans = []
+    for run in runs:
+        listing = catalog.select(catalog["location"].alias("path"))
+        plans.append(write_shared(undo_plan(run, listing), "undo_plan"))
+        catalog = write_shared(apply_undo(catalog, plans[-1]), "catalog")
+    return Organized(reduce(DataFrame.unionByName, plans), catalog, run_id)

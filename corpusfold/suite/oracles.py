@@ -96,7 +96,7 @@ silhouettes AS (SELECT k, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest
 
 EUCLIDEAN = "list_distance(a.e, b.e)"
 SQUARED = "list_distance(a.e, b.e) * list_distance(a.e, b.e)"
-SWEEP = f"{CELLS}, {_labellings(f'range({KS[0]}, {KS[-1] + 1})')}, {SPREADS}, {_silhouettes(EUCLIDEAN)}"
+SWEEP = f"{CELLS}, {_labellings(f'range({KS[0]}, {KS[-1] + 1})')}, {SPREADS}, {_silhouettes(SQUARED)}"
 
 STOP = f"(word IN ({_quoted(ENGLISH)}) OR length(word) < 3)"
 WORDS = r"""
@@ -237,7 +237,7 @@ ORACLES: dict[str, str] = {
         LEFT JOIN transcripts s ON s.path = CAST(c_custkey AS VARCHAR)""",
     "embedding_join": """SELECT doc_id AS path, CAST(len(embedding) AS INTEGER) AS dims,
         round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total
-        FROM documents JOIN embeddings ON doc_id = vec_id""",
+        FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
     "cluster_inertia": f"""WITH {CELLS}, {_labellings('[10]')}, {SPREADS}
         SELECT k, round(distortion, 6) AS distortion FROM spreads""",
     "calinski_harabasz": f"""WITH {CELLS}, {_labellings('[10]')}, {SPREADS}
@@ -298,8 +298,10 @@ ORACLES: dict[str, str] = {
     "manifest": f"WITH {PLAN} SELECT source, destination FROM plan WHERE status = 'move'",
     "write_folders": f"""WITH {PLACED} SELECT folder, count(*) AS documents,
         CAST(sum(length(text)) AS BIGINT) AS chars FROM placed JOIN documents USING (doc_id) GROUP BY folder""",
-    "decode_bytes": rf"""SELECT doc_id, {_strip(r"regexp_replace(text, '\r\n?', chr(10), 'g')")} AS content
-        FROM documents""",
+    "undo_repeated": f"SELECT doc_id, '{SOURCE_DIR}/' || {PATH} AS location FROM documents",
+    "decode_bytes": rf"""SELECT doc_id, CASE WHEN lang = 'es' AND doc_id % 5 = 0 AND text <> '' THEN NULL
+        ELSE {_strip(r"regexp_replace(text, '\r\n?', chr(10), 'g')")} END AS content FROM documents""",
+    "analyze_vectors_paths": f"SELECT {PATH} AS path FROM documents",
     "docx_lines": r"""SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(
         regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x09\x0b-\x1f]', ' ', 'g'), chr(10)),
         lambda s: s <> ''), chr(10)) AS content FROM documents""",

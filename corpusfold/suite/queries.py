@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from corpusfold.functions.strings import unix_newlines
 from corpusfold.operators import audio, choose, cluster, embed, filters, keywords, layout, quality, text
 from corpusfold.plans.analyze import analyze, tree_documents
+from corpusfold.plans.organize import organize, undo
 from corpusfold.session import spread, working_root, write_shared
 from corpusfold.sinks import write_manifest, write_organized
 from corpusfold.sources.content import decode_text, docx_text
@@ -176,7 +177,7 @@ def kmeans_assign(spark, sf):
 def _sweep(spark, sf):
     labels = F.array(*[F.col("label") % k for k in KS])
     return quality.labelling_metrics(_vectors(spark, sf).select("features", labels.alias("labels")), KS,
-                                     silhouette="exact")
+                                     silhouette="squared")
 
 
 def sweep_metrics(spark, sf):
@@ -275,6 +276,16 @@ def undo_roundtrip(spark, sf):
     return layout.apply_undo(moved, plan)
 
 
+def undo_repeated(spark, sf):
+    """Organised, taken back, organised again and taken back: every document once, where it was."""
+    path = f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}/manifest"
+    catalog, structure = _catalog(spark, sf), folder_merge(spark, sf)
+    for _ in range(2):
+        done = organize(structure, catalog, SOURCE_DIR, TARGET_DIR, path)
+        catalog = undo(spark, path, done.catalog).catalog
+    return catalog.select("doc_id", "location")
+
+
 def manifest(spark, sf):
     """Moves written to a manifest and read back."""
     path = f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}/manifest"
@@ -292,11 +303,14 @@ def write_folders(spark, sf):
 
 
 def decode_bytes(spark, sf):
-    """Texts in four encodings, by language, decoded again."""
+    """Texts in four encodings, by language, decoded again; some lose a byte and with it their text."""
     value = F.col("text")
     latin = value.rlike(r"^[\x00-\xff]*$")
+    wide = F.encode(value, "UTF-16")
+    cut = F.substring(wide, F.lit(1), F.octet_length(wide) - 1)
     data = (F.when(F.col("lang") == "de", F.concat(F.unhex(F.lit("EFBBBF")), F.encode(value, "UTF-8")))
-            .when(F.col("lang") == "es", F.encode(value, "UTF-16"))
+            .when((F.col("lang") == "es") & (F.col("doc_id") % 5 == 0) & (value != ""), cut)
+            .when(F.col("lang") == "es", wide)
             .when((F.col("lang") == "fr") & latin, F.encode(F.when(latin, value), "ISO-8859-1"))
             .otherwise(F.encode(value, "UTF-8")))
     return _documents(spark, sf).select("doc_id", decode_text(data).alias("content"))
@@ -381,11 +395,16 @@ def analyze_vectors(spark, sf):
     return analyze(docs, encoder=vectors).structure
 
 
+def analyze_vectors_paths(spark, sf):
+    """Every document has a place, with or without a vector."""
+    return analyze_vectors(spark, sf).select("path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     corpus_scan, noise_filter, exclude_glob, ext_class, unit_rollup, weighted_text, skip_organized,
     organized_folders, tags_text, duration_cap, transcript, audio_content, embedding_join,
     cluster_inertia, calinski_harabasz, silhouette_exact, silhouette_squared, kmeans_assign,
     sweep_metrics, select_k, term_stats, keyword_scores, keyword_topk, keyword_distinct, folder_name,
-    folder_merge, structure_summary, organize_plan, undo_plan, apply_plan, undo_roundtrip, manifest,
+    folder_merge, structure_summary, organize_plan, undo_plan, apply_plan, undo_roundtrip, undo_repeated, manifest,
     write_folders, decode_bytes, docx_lines, tree_scan, embed_tfidf, kmeans_best, kmeans_fit,
-    kmeans_sweep, analyze_documents, analyze_vectors)}
+    kmeans_sweep, analyze_documents, analyze_vectors, analyze_vectors_paths)}

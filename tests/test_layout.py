@@ -59,6 +59,19 @@ def test_organise_then_undo_restores(spark, tmp_path):
     assert sorted(r.status for r in all_back.plan.collect()) == ["missing", "missing", "restore"]
 
 
+def test_repeated_runs_are_taken_back_in_reverse(spark, tmp_path):
+    start = catalog = spark.createDataFrame([(1, "/s/a"), (2, "/s/b")], "id int, location string")
+    manifest = str(tmp_path / "manifest")
+    for _ in range(2):
+        done = organize(structure(spark, ("F", "a")), catalog, "/s", "/t", manifest)
+        catalog = undo(spark, manifest, done.catalog).catalog
+        assert sorted(catalog.collect()) == sorted(start.collect())
+    first = organize(structure(spark, ("F", "a")), catalog, "/s", "/t", manifest)
+    then = organize(structure(spark, ("G", "F/a")), first.catalog, "/t", "/u", manifest)
+    assert {r.location for r in then.catalog.collect()} == {"/u/G/F/a", "/s/b"}
+    assert sorted(undo(spark, manifest, then.catalog).catalog.collect()) == sorted(start.collect())
+
+
 def test_undo_statuses_and_array_manifests(spark, tmp_path):
     path = tmp_path / "old.json"
     path.write_text('[\n  {"source": "/s/a", "destination": "/t/a"},\n  {"source": "/s/b", "destination": "/t/b"},'
