@@ -146,7 +146,7 @@ def _slices(texts: pa.Array, size: int = 1_000_000) -> Iterator[int]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose texts are at least that similar."""
+    """The pairs ``a, b`` whose texts are at least that similar; ``texts`` has those of candidates only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
         for batch in batches:
@@ -158,10 +158,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
                 kept.append(probability_jaccard(left, shingles(batch.column(3)[i].as_py() or "")) >= similarity)
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = write_shared(texts.join(wanted, "id", "left_semi"), "pair-texts")
-    with_b = pairs.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
