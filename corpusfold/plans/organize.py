@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.operators.layout import apply_plan, apply_undo, mark_organized, organize_plan, undo_plan
 from corpusfold.session import write_shared
-from corpusfold.sinks import append_organized, write_manifest
+from corpusfold.sinks import append_organized, write_manifest, write_organized
 from corpusfold.sources.corpus import read_manifest
 
 
@@ -21,14 +21,19 @@ class Organized(NamedTuple):
 
 
 def organize(structure: DataFrame, catalog: DataFrame, source_dir: str, target_dir: str | None = None,
-             manifest: str | None = None, organized: str | None = None) -> Organized:
+             manifest: str | None = None, organized: str | None = None,
+             documents: DataFrame | None = None) -> Organized:
     """Plan the layout, record its moves and folders, and give the catalogue after it.
 
     ``catalog`` has a row per document with its ``location``. ``manifest`` and ``organized`` are the
-    paths of the tables to add to. For a dry run look at ``organize_plan`` alone.
+    paths of the tables to add to. With ``documents`` (``path`` and whatever else) those that move are
+    also written, a directory per folder, below ``target_dir`` or else ``source_dir``; a tree read later with the same
+    ``organized`` leaves those directories alone. For a dry run look at ``organize_plan`` alone.
     """
     listing = catalog.select(catalog["location"].alias("path"))
     plan = write_shared(organize_plan(structure, listing, source_dir, target_dir), "plan")
+    if documents is not None:
+        write_organized(documents, plan.filter("status = 'move'"), target_dir or source_dir)
     run_id = write_manifest(plan, manifest) if manifest else None
     if organized:
         append_organized(mark_organized(structure), organized)

@@ -28,6 +28,7 @@ KS = list(range(2, 11))
 GLOBS = ["*.net", "[!m]*.example.com", "4?", "*#top"]
 EXTENSIONS = [".pdf", ".TXT", ".docx", ".mp3", ".csv", "", ".tar.gz", ".Xml", ".", ".opus"]
 MAX_FRAMES = 600
+MAX_CHARS = 2000
 SOURCE_DIR, TARGET_DIR = "/corpus", "/sorted"
 
 
@@ -125,7 +126,7 @@ def duration_cap(spark, sf):
 
 
 def transcript(spark, sf):
-    return audio.transcript(_segments(spark, sf))
+    return audio.transcript(_segments(spark, sf), MAX_CHARS)
 
 
 def audio_content(spark, sf):
@@ -189,7 +190,7 @@ def select_k(spark, sf):
 
 
 def _labelled_texts(spark, sf):
-    return _documents(spark, sf).select(F.col("lang").alias("cluster"), "text")
+    return spread(_documents(spark, sf).select(F.col("lang").alias("cluster"), "text"))
 
 
 def term_stats(spark, sf):

@@ -21,13 +21,19 @@ def plan(df):
 @pytest.mark.parametrize("name", ["noise_filter", "exclude_glob", "ext_class", "weighted_text", "unit_rollup",
                                   "skip_organized", "tags_text", "duration_cap", "transcript", "audio_content",
                                   "embedding_join", "folder_merge", "organize_plan", "undo_plan", "apply_plan",
-                                  "decode_bytes", "keyword_scores", "term_stats"])
+                                  "keyword_scores", "term_stats"])
 def test_no_cross_join_and_no_python_in_column_work(spark, name):
     found = plan(QUERIES[name](spark, SMALL))
     for step in ("CartesianProduct", "NestedLoop", "Python", "MapInArrow"):
         assert step not in found
 
 
+@needs_tables
+def test_only_utf16_leaves_the_jvm_when_bytes_are_decoded(spark):
+    found = plan(QUERIES["decode_bytes"](spark, SMALL))
+    assert found.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in found and "Exchange" not in found
+
+
 @needs_tables
 def test_scans_read_only_what_is_used(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(QUERIES["corpus_scan"](spark, SMALL))
