@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.llm import lines, minhash, mixing, packing
 from corpusfold.llm import toxicity as tox
-from corpusfold.session import working_root
+from corpusfold.session import working_root, write_shared
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,8 +23,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that a source repeats; no document goes."""
-    cleaned = lines.drop_boilerplate(docs, F.col("source"))
+    """Texts without the lines that a source repeats; no document goes.
+
+    The site is the source, with the shares of ``lines.repeated_lines``. A class of near copies counts once: a line is not
+    boilerplate because its document was copied, and the copies meet again in the next stage.
+    """
+    classes = write_shared(minhash.near_duplicates(docs).select("doc_id", "class_id").distinct(), "classes")
+    counted = docs.select("doc_id", "source", lines.line_lengths(F.col("text")).alias("lines")).join(
+        classes.filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti")
+    cleaned = lines.drop_repeated(docs, lines.repeated_lines(counted), classes)
     n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
 

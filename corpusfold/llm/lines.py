@@ -11,7 +11,14 @@ from corpusfold.session import broadcast_if_small, write_shared
 RATIO = 0.1
 # ...if that is at least so many pages: a host with few pages says little.
 MIN_PAGES = 5
+# A source is far larger than a site, and texts share a line by chance the less the longer it is: RATIO holds for lines of
+# one word and halves with each word more. Above LONG_WORDS words so many documents are enough, however large the source;
+# such a line may be a passage and no notice, so one document keeps it unless its share is above RATIO.
+LONG_WORDS, LONG_PAGES = 50, 2
 BLANKS = " \t\r"
+# A word; scripts written without spaces have about two characters to a word.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{_UNSPACED}]{{1,2}}|[^\s{_UNSPACED}]+"
 
 
 def line_keys(text: Column) -> Column:
@@ -51,20 +58,74 @@ def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", rat
     found = write_shared(found.select(F.col("host").alias("_site"), F.col("keys").alias("_keys")), "boilerplate")
     found = broadcast_if_small(found, 10_000)
     joined = keyed.join(found, F.col("_host").eqNullSafe(F.col("_site")), "left")
+    names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    return _without_keys(joined, text_col).select(*names, "n_lines", "n_dropped")
+
+
+def line_lengths(text: Column) -> Column:
+    """The different lines that are not blank: ``key`` as in ``line_keys``, and ``words``, counted up to LONG_WORDS + 1."""
+    def entry(line: Column) -> Column:
+        words = F.least(F.regexp_count(line, F.lit(WORD)), F.lit(LONG_WORDS + 1))
+        return F.when(line != "", F.struct(F.xxhash64(line).alias("key"), words.alias("words")))
+
+    return F.array_compact(F.array_distinct(F.transform(F.split(text, "\n"), lambda s: entry(F.btrim(s, F.lit(BLANKS))))))
+
+
+def repeated_lines(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``source, key, keeper`` from ``doc_id, source, lines`` (of ``line_lengths``): what repeats too often for its length.
+
+    ``keeper`` is the least id of the documents that have the line, if one is to keep it.
+    """
+    totals = docs.groupBy(F.col("source").alias("_of")).agg(F.count("*").alias("total"))
+    long_ = F.col("words") > LONG_WORDS
+    counts = (docs.select("doc_id", "source", F.explode("lines").alias("line"))
+              .select("doc_id", "source", "line.key", "line.words")
+              .groupBy("source", "key", "words").agg(F.count("*").alias("held"), F.min("doc_id").alias("first"))
+              .filter(F.col("held") >= F.when(long_, LONG_PAGES).otherwise(min_pages)))
+    share = F.lit(ratio) * F.pow(F.lit(0.5), F.col("words") - 1)
+    common = (F.col("held") > F.col("total") * F.lit(ratio)) & (F.col("held") >= min_pages)
+    return (counts.join(totals, F.col("source").eqNullSafe(F.col("_of")))
+            .filter(long_ | (F.col("held") > F.col("total") * share))
+            .select("source", "key", F.when(long_ & ~common, F.col("first")).alias("keeper")))
+
+
+def drop_repeated(docs: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """``docs`` without the lines that ``found`` (of ``repeated_lines``) has for their source, and ``n_lines, n_dropped``.
+
+    The keeper of a line keeps it, and so do the documents of its class (``doc_id, class_id``), which stay copies of it.
+    As in ``drop_boilerplate`` a text that would keep no line is left as it is. A source may have any number of such
+    lines: they are looked up by joins, and the lines that go are gathered per source and text, equal texts once.
+    """
+    found = write_shared(found.select(F.col("source").alias("_of"), "key", "keeper"), "repeated")
+    keyed = docs.withColumn("_source", F.col("source")).withColumn("_digest", F.xxhash64("text"))
+    hits = (keyed.select("doc_id", "_source", "_digest", F.explode(F.array_compact(F.array_distinct(line_keys(F.col("text"))))).alias("_key"))
+            .join(broadcast_if_small(found), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("key")))
+            .select("doc_id", "_source", "_digest", "_key", "keeper"))
+    hits = write_shared(hits, "hits")
+    kept = (hits.filter("keeper IS NOT NULL").join(classes, "doc_id", "left")
+            .filter(~F.col("class_id").eqNullSafe(F.col("keeper"))).select("_source", "_digest", "_key"))
+    gone = (hits.filter("keeper IS NULL").select("_source", "_digest", "_key").unionByName(kept)
+            .groupBy(F.col("_source").alias("_of"), F.col("_digest").alias("_text")).agg(F.collect_set("_key").alias("_keys")))
+    gone = broadcast_if_small(write_shared(gone, "gone"), 10_000)
+    joined = keyed.join(gone, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_text")), "left")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return _without_keys(joined, "text").select(*names, "n_lines", "n_dropped")
+
+
+def _without_keys(joined: DataFrame, text_col: str) -> DataFrame:
+    """The texts without the lines in ``_keys``, and ``n_lines, n_dropped``."""
     lines = F.arrays_zip(F.split(text_col, "\n").alias("line"), line_keys(F.col(text_col)).alias("key"))
     kept = F.filter("_lines", lambda x: x["key"].isNull() | ~F.array_contains(F.col("_keys"), x["key"]))
     full = F.filter("_lines", lambda x: x["key"].isNotNull())
     left = F.size(F.filter("_kept", lambda x: x["key"].isNotNull()))
-    out = (joined.withColumn("_lines", lines)
-           .withColumn("_kept", F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(kept))
-           .withColumn("n_lines", F.when(F.col("_lines").isNull(), 0).otherwise(F.size(full)).cast("bigint"))
-           .withColumn("_left", left)
-           .withColumn("n_dropped", F.when((F.col("_left") > 0) & F.col("_keys").isNotNull(),
-                                           F.col("n_lines") - F.col("_left")).otherwise(0).cast("bigint"))
-           .withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join(
-               F.transform("_kept", lambda x: x["line"]), "\n")).otherwise(F.col(text_col))))
-    names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*names, "n_lines", "n_dropped")
+    return (joined.withColumn("_lines", lines)
+            .withColumn("_kept", F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(kept))
+            .withColumn("n_lines", F.when(F.col("_lines").isNull(), 0).otherwise(F.size(full)).cast("bigint"))
+            .withColumn("_left", left)
+            .withColumn("n_dropped", F.when((F.col("_left") > 0) & F.col("_keys").isNotNull(),
+                                            F.col("n_lines") - F.col("_left")).otherwise(0).cast("bigint"))
+            .withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join(
+                F.transform("_kept", lambda x: x["line"]), "\n")).otherwise(F.col(text_col))))
 
 
 # Where one block of a page ends and the next begins, and what is not text at all.

@@ -347,6 +347,28 @@ def test_boilerplate_lines(spark):
     assert lines.drop_boilerplate(table(spark, []), F.col("source")).count() == 0
 
 
+def test_a_source_loses_lines_by_their_length(spark, words):
+    import corpus_pipeline as pipeline
+
+    rng = np.random.default_rng(5)
+    line = lambda n: " ".join(rng.choice(words, n))
+    long_, notice, han = line(60), "All parts of this text are licensed freely.", "\u6587" * 120
+    texts = [[line(40), line(30)] for _ in range(200)]
+    for i in range(6):
+        texts[i] += ["Yes.", notice] + [long_] * (i < 3) + [han] * (i < 3)
+    copied = [line(60) for _ in range(6)]
+    near = [copied + [f"copy {i}"] for i in range(5)]
+    rows = [(i, "\n".join(t), "s") for i, t in enumerate(texts + near)] + [(300, long_, "s"), (301, long_ + "\nother", None), (302, None, "s")]
+    docs = table(spark, rows).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    stage = pipeline.line_dedup(spark, docs, "")
+    found = {r.doc_id: r for r in stage.collect()}
+    assert len(found) == len(rows) and stage.columns == docs.columns
+    for i in range(6):
+        assert found[i].text == "\n".join(texts[i][:2] + ["Yes."] + [long_, han] * (i < 1)) and found[i].n_chars == len(found[i].text)
+    for i in [*range(6, len(texts) + 5), 300, 301, 302]:
+        assert found[i].text == {r[0]: r[1] for r in rows}[i]
+
+
 def test_pseudonyms_keep_format_and_link(spark):
     text = ("4041894974608795 and 4041 8949 7460 8795, 4041894974608796; 42.144.35.254. Ab.22@mail7.example.com "
             "+1 (626) 555-5759, 626-555-5759 2024-02-29 02/29/2024 29.02.2024 2024-02-30 1850-01-01 123-45-6789 "
