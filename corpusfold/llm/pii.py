@@ -24,7 +24,8 @@ FORMATS = {
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w]|-\d)",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
-    "phone": r"(?<![\w+.-])(?:(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])\d{3}[ .-]\d{4}"
+    # A +1 or brackets make the format plain whatever the digits; a bare area code starts with 2 to 9.
+    "phone": r"(?<![\w+.-])(?:(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])|(?:1[ .-]?)?(?:\(\d{3}\) ?|[2-9]\d{2}[ .-]))\d{3}[ .-]\d{4}"
              r"|\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,4})(?!\w)",
     "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
     "secret": r"(?i:(?<=password=)|(?<=token = \")|(?<=token=)|(?<=secret=))[A-Za-z0-9+/_-]{8,}|(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
@@ -95,7 +96,7 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """Country code and the digits that may not be 0 or 1 stay."""
+    """Country code and the first digits of area and exchange, which mostly may not be 0 or 1, stay."""
     def american(d: Column) -> Column:
         lead = F.substring(d, F.lit(1), F.char_length(d) - 10)
         p = permuted_digits(F.concat(F.substring(d, -9, 2), F.substring(d, -6, 6)), "phone", key)

@@ -389,6 +389,16 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert pii.pseudonymise(table(spark, [])).count() == 0
 
 
+def test_phones_of_any_area_code(spark):
+    texts = ["+1 (017) 555-7713", "+1 (132) 055-1352", "(017) 155-7713", "+1 017-555-7713", "+1-132.555.1352", "1 (626) 555-5759"]
+    bare = ["017-555-7713", "132 555-1352"]
+    found = {r.doc_id: r for r in pii.pseudonymise(table(spark, [(i, t, "s") for i, t in enumerate(texts + bare)])).collect()}
+    for i, old in enumerate(texts):
+        assert found[i].n_found == 1 and found[i].text != old and re.sub(r"\d", "0", found[i].text) == re.sub(r"\d", "0", old)
+    assert found[0].text[-8:] == found[3].text[-8:] and found[0].text[4:7] == found[3].text[3:6]
+    assert [found[len(texts) + i].text for i in range(2)] == bare
+
+
 def test_digits_are_permuted_one_to_one(spark):
     for n in (2, 3):
         values = spark.range(10 ** n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
