@@ -35,7 +35,7 @@ FORMATS = {
 # The groups of the card format are the only ones that capture.
 ANY = "|".join(FORMATS.values())
 # Every format has one of these, most texts have none.
-HINT = "[0-9@=]|token"
+HINT = "[0-9@=]|token|AKIA"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
