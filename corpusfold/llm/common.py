@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST = -(1 << 63)
 
@@ -42,3 +46,26 @@ def range_of(splitters: Sequence[int], key: Column, ties: Sequence[int] | None =
     # Past the end get() is null, and the position stays.
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
                        lambda at, s: F.when(reached(at + s - 1), at + s).otherwise(at))
+
+
+def text_slices(texts: pa.Array, max_bytes: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of neighbouring texts of at most ``max_bytes`` together (or one longer text), each with its first row.
+
+    Texts come as UTF-8, whole; null is empty.
+    """
+    data = pc.fill_null(texts.cast(pa.binary()), b"")
+    ends = np.cumsum(pc.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(data):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + max_bytes, "right")))
+        yield at, data.slice(at, stop - at).to_pylist()
+        at = stop
+
+
+def broadcast_if_light(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
+    """Hint a broadcast only when the rows of ``df``, a written table, were added up and are at most ``max_bytes``."""
+    size = F.lit(0)
+    for field in df.schema:
+        width = F.octet_length(field.name) if isinstance(field.dataType, T.StringType) else F.lit(16)
+        size = size + F.coalesce(width, F.lit(0)) + 8
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= max_bytes else df

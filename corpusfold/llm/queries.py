@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm import (exact_dedup, fingerprints, lines, minhash, mixing, packing, pii, sharding, token_files,
-                            toxicity)
-from corpusfold.session import write_shared
+from corpusfold.llm import (exact_dedup, fingerprints, lines, minhash, mixing, packing, pii, quality_rules, sharding,
+                            token_files, toxicity)
+from corpusfold.session import spread, write_shared
 
 SHARDS = 16
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -70,11 +70,63 @@ def op10_token_files(spark, sf):
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_quality_rules(spark, sf):
+    return quality_rules.quality(spread(_table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     op1_packing, op2_pseudonyms, op3_exact_dedup, op4_near_dedup, op5_mixing, op6_shards, op7_fingerprints, op8_toxicity,
-    op9_line_dedup, op10_token_files)}
+    op9_line_dedup, op10_token_files, op11_quality_rules)}
+
+def _quality_sql() -> str:
+    names = [name for name, *_ in quality_rules.RULES]
+    values = ", ".join(f"({part} * {quality_rules.UNIT}) // greatest({whole}, 1) AS {name}"
+                       for name, part, whole, _, _ in quality_rules.RULES)
+    least = " ".join(f"WHEN '{name}' THEN {step}" for name, *_, step in quality_rules.RULES)
+    sides = ", ".join(f"'{name}'" for name, _, _, two_sided, _ in quality_rules.RULES if two_sided)
+    levels = {"g": "lang, source", "l": "lang, NULL AS source", "a": "NULL AS lang, NULL AS source"}
+    coarser = " UNION ALL ".join(f"SELECT '{level}' AS level, {keys}, rule, cell FROM cells" for level, keys in levels.items())
+    return rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+        w AS MATERIALIZED (SELECT r, generate_subscripts(words, 1) AS i, unnest(words) AS word
+            FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d)),
+        g AS MATERIALIZED (SELECT r, i, word || ' ' || lead(word) OVER t || ' ' || lead(word, 2) OVER t AS gram
+            FROM w WINDOW t AS (PARTITION BY r ORDER BY i)),
+        again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g WHERE gram IS NOT NULL) WHERE n > 1),
+        repeats_ AS (SELECT r, count(DISTINCT i) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS i FROM again) GROUP BY r),
+        words_ AS (SELECT r, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM w GROUP BY r),
+        lines_ AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+        m AS MATERIALIZED (SELECT r, doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+            coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM d LEFT JOIN words_ USING (r) LEFT JOIN lines_ USING (r) LEFT JOIN repeats_ USING (r)),
+        v AS MATERIALIZED (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words
+            AS base_failed, {values} FROM m),
+        tall AS MATERIALIZED (UNPIVOT v ON {', '.join(names)} INTO NAME rule VALUE value),
+        cells AS (SELECT lang, source, rule, (((value >> s) + 1) << s) - 1 AS cell FROM
+            (SELECT *, greatest(length(bin(value)) - 8, 0) AS s FROM tall WHERE NOT base_failed)),
+        counted AS (SELECT level, lang, source, rule, cell, count(*) AS n FROM ({coarser}) GROUP BY ALL),
+        run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY cell) AS below,
+            sum(n) OVER (PARTITION BY level, lang, source, rule) AS total FROM counted),
+        q AS (SELECT level, lang, source, rule, max(total) AS docs, min(cell) FILTER (WHERE 4 * below >= total) AS q1,
+            min(cell) FILTER (WHERE 4 * below >= 3 * total) AS q3 FROM run GROUP BY level, lang, source, rule),
+        f AS MATERIALIZED (SELECT level, lang, source, rule, docs, CASE WHEN rule IN ({sides}) THEN q1 - reach ELSE 0 END AS low,
+            q3 + reach AS high FROM (SELECT *, {quality_rules.FENCE} * greatest(q3 - q1, CASE rule {least} END) AS reach FROM q)),
+        j AS (SELECT t.r, bool_and(value BETWEEN
+                CASE WHEN o.docs >= {quality_rules.LEAST_DOCS} THEN o.low WHEN l.docs >= {quality_rules.LEAST_DOCS} THEN l.low ELSE a.low END AND
+                CASE WHEN o.docs >= {quality_rules.LEAST_DOCS} THEN o.high WHEN l.docs >= {quality_rules.LEAST_DOCS} THEN l.high ELSE a.high END) AS fits
+            FROM tall t JOIN f o ON o.level = 'g' AND o.rule = t.rule AND o.lang IS NOT DISTINCT FROM t.lang
+                AND o.source IS NOT DISTINCT FROM t.source
+            JOIN f l ON l.level = 'l' AND l.rule = t.rule AND l.lang IS NOT DISTINCT FROM t.lang
+            JOIN f a ON a.level = 'a' AND a.rule = t.rule GROUP BY t.r)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND coalesce(fits, false) AS kept FROM v LEFT JOIN j USING (r)"""
+
 
 ORACLES: dict[str, str] = {
+    "op11_quality_rules": _quality_sql(),
     "op3_exact_dedup": """WITH n AS (SELECT doc_id, translate(coalesce(text, ''),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
