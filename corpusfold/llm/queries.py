@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm import (exact_dedup, fingerprints, lines, minhash, mixing, packing, pii, quality_rules, sharding,
-                            token_files, toxicity)
+from corpusfold.llm import (exact_dedup, fingerprints, lines, minhash, mixing, packing, periodic_runs, pii,
+                            quality_rules, sharding, token_files, toxicity)
 from corpusfold.session import spread, write_shared
 
 SHARDS = 16
@@ -75,9 +75,35 @@ def op11_quality_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _with_rounds(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: every tenth text, by its id, goes round from a word on, as the contract of the query has it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    parts = docs.select("doc_id", "text", g.alias("g"), words.alias("words")).withColumn("n", F.size("words").cast("bigint"))
+    parts = parts.withColumn("a", F.col("g") % F.when(F.col("n") > 0, F.col("n")))
+    parts = parts.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    rest, period = (F.col("n") - F.col("a")).cast("int"), F.col("p").cast("int")
+    rounds = F.flatten(F.array_repeat(F.slice("words", F.col("a").cast("int") + 1, period), F.ceil(rest / period).cast("int")))
+    edited = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), F.slice(rounds, F.lit(1), rest)), " ")
+    return parts.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark, sf):
+    docs = _with_rounds(spread(_table(spark, sf, "documents").select("doc_id", "text")))
+    best = periodic_runs.strongest(F.col("runs"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = periodic_runs.periodic_runs(docs).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                        F.expr("(1000L * best.length) DIV best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     op1_packing, op2_pseudonyms, op3_exact_dedup, op4_near_dedup, op5_mixing, op6_shards, op7_fingerprints, op8_toxicity,
-    op9_line_dedup, op10_token_files, op11_quality_rules)}
+    op9_line_dedup, op10_token_files, op11_quality_rules, op13_periodic_runs)}
+
 
 def _quality_sql() -> str:
     names = [name for name, *_ in quality_rules.RULES]
