@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.llm import (exact_dedup, fingerprints, lines, minhash, mixing, packing, periodic_runs, pii,
-                            quality_rules, sharding, token_files, toxicity)
+from corpusfold.llm import (exact_dedup, fingerprints, lexical_search, lines, minhash, mixing, packing, periodic_runs,
+                            pii, quality_rules, sharding, token_files, toxicity)
 from corpusfold.session import spread, write_shared
 
 SHARDS = 16
@@ -75,6 +75,11 @@ def op11_quality_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_lexical_search(spark, sf):
+    docs = spread(_table(spark, sf, "documents").select("doc_id", "text"))
+    return lexical_search.rank(docs, _table(spark, sf, "benchmark"))
+
+
 def _with_rounds(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: every tenth text, by its id, goes round from a word on, as the contract of the query has it."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -102,7 +107,7 @@ def op13_periodic_runs(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     op1_packing, op2_pseudonyms, op3_exact_dedup, op4_near_dedup, op5_mixing, op6_shards, op7_fingerprints, op8_toxicity,
-    op9_line_dedup, op10_token_files, op11_quality_rules, op13_periodic_runs)}
+    op9_line_dedup, op10_token_files, op11_quality_rules, op12_lexical_search, op13_periodic_runs)}
 
 
 def _quality_sql() -> str:
@@ -151,7 +156,24 @@ def _quality_sql() -> str:
             NOT base_failed AND coalesce(fits, false) AS kept FROM v LEFT JOIN j USING (r)"""
 
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 ORACLES: dict[str, str] = {
+    "op12_lexical_search": f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS words FROM documents),
+        sized AS (SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0),
+        totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized),
+        q AS MATERIALIZED (SELECT DISTINCT i, item_id, unnest({_TERMS}) AS term
+            FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+        tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM d)
+            WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+        w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+        v AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS part
+            FROM tf JOIN sized USING (r) JOIN w USING (term), totals),
+        s AS (SELECT i, item_id, r, doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN v USING (term) GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i
+            ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= {lexical_search.TOP}""",
     "op11_quality_rules": _quality_sql(),
     "op3_exact_dedup": """WITH n AS (SELECT doc_id, translate(coalesce(text, ''),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
