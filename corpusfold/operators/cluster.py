@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +52,11 @@ def fit_all(df: DataFrame, ks: Sequence[int], features: str = "features", restar
     k, restarts and dimensions, never by rows. Pass a written table, as every pass reads it.
     """
     dim = vector_size(df, features)
-    points = pack(df.select(*vector_columns(df, features),
-                            F.xxhash64(F.col(features), F.lit(seed)).alias("draw")), dim).persist()
+    # The same for sparse and dense vectors.
+    values = F.col(features)
+    if isinstance(df.schema[features].dataType, VectorUDT):
+        values = vector_to_array(values)
+    points = pack(df.select(*vector_columns(df, features), F.xxhash64(values, F.lit(seed)).alias("draw")), dim).persist()
     try:
         per_restart = sum(ks) * dim * 8
         together = max(1, min(restarts, STATE_BYTES // per_restart))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -31,7 +32,8 @@ def embed(texts: DataFrame, encoder="tfidf", id_col: str = "path", text_col: str
     """Turn every text into a vector.
 
     ``encoder`` is ``"tfidf"`` (hashed words, weighted, unit length), a DataFrame of ready vectors
-    (``id_col, features``; texts without a usable one have no row here), or a function from a list of texts to a list of vectors, called on Arrow batches on the workers.
+    (``id_col, features``; texts without a usable one have no row here), or a function from a list of texts to a list of vectors, called on
+    Arrow batches on the workers. A document in several parts has the mean of their vectors, weighted by length.
     """
     if isinstance(encoder, DataFrame):
         ids = texts.select(id_col).distinct() if "parts" in texts.columns else texts.select(id_col)
@@ -92,18 +94,24 @@ def _merge_parts(tf: DataFrame, id_col: str) -> DataFrame:
 
 
 def _encoded(texts: DataFrame, encoder: Callable, id_col: str, text_col: str) -> Embedding:
-    _refuse_parts(texts)
-
     @F.pandas_udf("array<float>")
     def vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(list(encoder(batch.tolist())))
 
-    vectors = spread(texts.select(id_col, text_col)).select(id_col, vector(text_col).alias("features"))
-    # A model is dear to run: its vectors are written once and joined later.
-    return Embedding(write_shared(vectors, "vectors"), None)
-
-
-def _refuse_parts(texts: DataFrame) -> None:
-    if "parts" in texts.columns and not texts.filter("parts > 1").isEmpty():
-        raise ValueError("this encoder needs each document in one row; raise part_chars or use tfidf")
+    in_parts = "parts" in texts.columns
+    rows = spread(texts.select(id_col, *(["parts"] if in_parts else []), text_col))
+    vectors = rows.withColumn("features", vector(text_col))
+    if not in_parts:
+        # A model is dear to run: its vectors are written once and joined later.
+        return Embedding(write_shared(vectors.select(id_col, "features"), "vectors"), None)
+    weight = F.greatest(F.length(text_col), F.lit(1)).cast("double").alias("weight")
+    return Embedding(write_shared(_pooled(write_shared(vectors.select(id_col, "parts", "features", weight), "part_vectors"),
+                                          id_col), "vectors"), None)
+
+
+def _pooled(vectors: DataFrame, id_col: str) -> DataFrame:
+    """One vector per document: of several parts, the mean by their lengths. Sums merge, so no document is gathered."""
+    mean = Summarizer.mean(array_to_vector("features"), F.col("weight"))
+    many = vectors.filter("parts > 1").groupBy(id_col).agg(vector_to_array(mean, "float32").alias("features"))
+    return vectors.filter("parts = 1").select(id_col, "features").unionByName(many)

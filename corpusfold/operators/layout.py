@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusfold.session import broadcast_if_small
+from corpusfold.session import broadcast_if_small, write_shared
 
 
 def merge_folders(assignments: DataFrame, names: DataFrame) -> DataFrame:
@@ -60,6 +62,82 @@ def undo_plan(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return plan.withColumn("status", status).select("source", "destination", "status")
 
 
+class Undone(NamedTuple):
+    plan: DataFrame
+    """``run_id, source, destination, status`` per move and run, as ``undo_plan`` has them when its turn comes"""
+    places: DataFrame
+    """``path, place``: where what is at ``path`` now ends up, for all that moves"""
+
+
+def undo_moves(manifest: DataFrame, listing: DataFrame) -> Undone:
+    """Take back all runs of a manifest, the last one first, without going through them one by one.
+
+    Each move points to the one that is undone next at the place it goes back to; documents follow these pointers, which are
+    doubled round by round, so n runs take about log2(n) joins. A move back into a place that is taken is a conflict and
+    leaves its document where it is. To find these, the places are looked at over the steps of all documents; as a conflict
+    changes what follows, those of the first run that has some are settled and the rest is followed anew: one more time per
+    run with conflicts. Per path there are at most as many rows as runs.
+    """
+    moves = manifest if "run_id" in manifest.columns else manifest.withColumn("run_id", F.lit(None).cast("string"))
+    timed = "moved_at" in moves.columns
+    at = F.max("moved_at") if timed else F.lit(0)
+    latest = F.max_by("source", F.struct("moved_at", "source")) if timed else F.min("source")
+    # One row per run.
+    runs = moves.groupBy(F.col("run_id").alias("_run")).agg(at.alias("at")).select(
+        "_run", F.row_number().over(Window.orderBy(F.desc("at"), "_run")).alias("step"))
+    events = (moves.groupBy("run_id", "destination").agg(latest.alias("source"))
+              .join(broadcast_if_small(runs), F.col("run_id").eqNullSafe(F.col("_run")))
+              .select(F.monotonically_increasing_id().alias("id"), "run_id", "step", "source", "destination"))
+    events = write_shared(events, "undo_events")
+    here = listing.select("path").distinct()
+    blocked = events.filter("false").select("id")
+    rounds = max((events.agg(F.max("step")).first()[0] or 0) - 1, 0).bit_length()
+    while True:
+        starts, jump, reached = _follow(events.join(blocked, "id", "left_anti"), here, rounds)
+        taken = write_shared(_taken(events.join(reached, "id"), here), "undo_taken")
+        step = taken.agg(F.min("step")).first()[0]
+        if step is None:
+            break
+        blocked = write_shared(blocked.unionByName(taken.filter(F.col("step") == step).select("id")), "undo_blocked")
+    status = (F.when(F.col("conflict"), "conflict").when(F.col("done"), "restore").otherwise("missing"))
+    plan = (events.join(reached.withColumn("done", F.lit(True)), "id", "left")
+            .join(blocked.withColumn("conflict", F.lit(True)), "id", "left")
+            .select("run_id", "source", "destination", status.alias("status")))
+    places = (starts.join(jump, "id").select("path", F.col("to").alias("id"))
+              .join(events.select("id", F.col("source").alias("place")), "id").select("path", "place"))
+    return Undone(plan, places)
+
+
+def _follow(events: DataFrame, here: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``path, id``: the first move that takes a place's document back; ``id, to``: the last one after each; ``id``: all that do."""
+    none = F.lit(None).cast("bigint")
+    visits = (events.select(F.col("destination").alias("path"), "step", F.col("id").alias("target"), none.alias("id"), F.lit(False).alias("start"))
+              .unionByName(events.select(F.col("source").alias("path"), "step", none.alias("target"), "id", F.lit(False).alias("start")))
+              .unionByName(here.select("path", F.lit(0).alias("step"), none.alias("target"), none.alias("id"), F.lit(True).alias("start"))))
+    later = Window.partitionBy("path").orderBy("step").rangeBetween(1, Window.unboundedFollowing)
+    linked = write_shared(visits.withColumn("next", F.first("target", ignorenulls=True).over(later)).filter("target IS NULL")
+                          .filter("id IS NOT NULL OR next IS NOT NULL"), "undo_links")
+    starts = linked.filter("start").select("path", F.col("next").alias("id"))
+    jump = linked.filter("id IS NOT NULL").select("id", F.coalesce("next", "id").alias("to"))
+    reached = starts.select("id").distinct()
+    for _ in range(rounds):
+        reached = write_shared(reached.union(reached.join(jump, "id").select("to")).distinct(), "undo_reached")
+        jump = write_shared(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to")
+                            .select("id", F.col("_to").alias("to")), "undo_jumps")
+    return starts, jump, reached
+
+
+def _taken(undone: DataFrame, here: DataFrame) -> DataFrame:
+    """``id, step`` of the moves whose source holds another document when they are to be taken back."""
+    none = F.lit(None).cast("bigint")
+    seen = (undone.select(F.col("source").alias("path"), "step", "id", F.lit(True).alias("comes"))
+            .unionByName(undone.select(F.col("destination").alias("path"), "step", none.alias("id"), F.lit(False).alias("comes")))
+            .unionByName(here.select("path", F.lit(0).alias("step"), none.alias("id"), F.lit(True).alias("comes"))))
+    before = Window.partitionBy("path").orderBy("step").rangeBetween(Window.unboundedPreceding, -1)
+    return (seen.withColumn("held", F.last("comes", ignorenulls=True).over(before))
+            .filter("id IS NOT NULL AND held").select("id", "step"))
+
+
 def _with_presence(plan: DataFrame, listing: DataFrame, *columns: str) -> DataFrame:
     """Add ``<column>_present``. Full paths are unique in a listing, so neither side has hot keys."""
     for column in columns:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,16 +30,33 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only when ``df`` was counted and found small; else leave the join to Spark.
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast only when the rows of ``df`` were counted and their bytes added up; else leave the join to Spark.
 
-    For narrow tables (a key and a few scalars) that are cheap to count.
+    For tables that are cheap to count: ``df`` is worked out once more for the join.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    if rows <= max_rows and (size or 0) <= max_bytes:
         return F.broadcast(df)
     return df
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    total = F.lit(0)
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = F.octet_length(field.name)
+        elif kind == "array":
+            # Strings inside arrays by their spelling as JSON.
+            flat = field.dataType.elementType.typeName() in ("string", "struct", "array", "binary")
+            size = F.octet_length(F.to_json(field.name)) if flat else 8 * F.size(field.name)
+        else:
+            size = F.lit(8)
+        total = total + 8 + F.coalesce(size, F.lit(0))
+    return total
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use every core when a scan has fewer splits than the cluster has cores.
 

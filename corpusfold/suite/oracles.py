@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusfold.functions.stopwords import ENGLISH
-from corpusfold.suite.queries import EXTENSIONS, GLOBS, KS, MAX_FRAMES, SOURCE_DIR, TARGET_DIR
+from corpusfold.suite.queries import EXTENSIONS, GLOBS, KS, LETTERS, MAX_FRAMES, SOURCE_DIR, TARGET_DIR
 
 
 def _quoted(values) -> str:
@@ -200,6 +200,12 @@ kept AS (SELECT cluster, list_reduce(list_prepend(CAST([] AS VARCHAR[]), phrases
     THEN kept ELSE list_concat(kept, p) END) AS kept FROM orders),
 chosen AS (SELECT cluster, CAST(generate_subscripts(kept, 1) AS INTEGER) AS place, unnest(kept) AS keyword FROM kept)"""
 
+# Units as documents: all files of a source as one text.
+UNIT_TEXTS = f"""unit_texts AS MATERIALIZED (SELECT source AS doc_id, source AS lang,
+    string_agg({PATH} || text, '' ORDER BY source || '/' || {PATH}) AS text FROM documents GROUP BY source)"""
+TREE_TEXT = _strip(r"regexp_replace(text, '\r\n?', chr(10), 'g')")
+TOPIC = r"'Topic_' || regexp_extract(source, '(\d)$', 1)"
+
 ORACLES: dict[str, str] = {
     "corpus_scan": f"SELECT {PATH} AS path, text AS content FROM documents",
     "noise_filter": f"""WITH {URLS} SELECT page_id, rel_path FROM urls
@@ -308,4 +314,22 @@ ORACLES: dict[str, str] = {
     "tree_scan": rf"""SELECT source AS path, 0 AS part, 1 AS parts, string_agg({PATH}
         || {_strip(r"regexp_replace(text, '\r\n?', chr(10), 'g')")}, '' ORDER BY source || '/' || {PATH}) AS content
         FROM documents GROUP BY source""",
+    "tree_scan_parts": f"""SELECT source AS path, string_agg({PATH} || {TREE_TEXT}, '' ORDER BY source || '/' || {PATH}) AS content,
+        true AS numbered, true AS whole_sentences FROM documents GROUP BY source""",
+    "unit_rollup_parts": f"""WITH {UNIT_TEXTS} SELECT doc_id AS unit, text AS content, true AS numbered,
+        true AS whole_sentences FROM unit_texts""",
+    "term_stats_parts": f"""WITH {UNIT_TEXTS}, {WORDS.replace('FROM documents)', 'FROM unit_texts)')}
+        SELECT cluster, word AS term, tf, proper, acronym, sentences,
+        left_words, left_total, right_words, right_total, median_sentence FROM stats""",
+    "embed_encoder_parts": f"""WITH {UNIT_TEXTS} SELECT doc_id AS path, {', '.join(
+        f"round((length(text) - length(replace(text, '{c}', ''))) / length(text)::DOUBLE, 4) AS share_{c}" for c in LETTERS)}
+        FROM unit_texts""",
+    "rescan_organized": f"""SELECT 'scanned' AS kind, source AS name, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS size
+        FROM documents GROUP BY source
+        UNION ALL SELECT 'written', {TOPIC}, count(DISTINCT source), CAST(sum(length({PATH} || {TREE_TEXT})) AS BIGINT)
+        FROM documents GROUP BY {TOPIC}
+        UNION ALL SELECT 'moved', {TOPIC}, count(DISTINCT source), NULL FROM documents GROUP BY {TOPIC}""",
+    "undo_chain": f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '/run1/' || {TOPIC} || '/' || {PATH} ELSE '/run0/' || {PATH} END
+        AS location FROM documents
+        UNION ALL SELECT -1 - doc_id, '/run0/' || {PATH} FROM documents WHERE doc_id % 7 = 0""",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -21,7 +20,9 @@ from corpusfold.plans.organize import organize, undo
 from corpusfold.session import spread, working_root, write_shared
 from corpusfold.sinks import write_manifest, write_organized
 from corpusfold.sources.content import decode_text, docx_text
+from corpusfold.sources import storage
 from corpusfold.sources.corpus import read_corpus, read_manifest
+from corpusfold.sources.tree import read_tree
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 KS = list(range(2, 11))
@@ -30,6 +31,9 @@ EXTENSIONS = [".pdf", ".TXT", ".docx", ".mp3", ".csv", "", ".tar.gz", ".Xml", ".
 MAX_FRAMES = 600
 MAX_CHARS = 2000
 SOURCE_DIR, TARGET_DIR = "/corpus", "/sorted"
+# Far less than a unit has.
+PART_CHARS = 3000
+LETTERS = "aeiou"
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -341,20 +345,97 @@ def docx_lines(spark, sf):
     return docs.select("doc_id", docx_text(_as_docx(clean)).alias("content"))
 
 
-def tree_scan(spark, sf):
-    """Documents written as a tree of files, a folder per source, then scanned, read and rolled up."""
-    root = f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}/tree".removeprefix("file:")
-    os.makedirs(root)
+def _written_tree(spark, sf) -> str:
+    """Documents as a tree of files, a folder per source; its root."""
+    root = f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}/tree"
     files = spread(_documents(spark, sf).select("source", _path().alias("name"), "text"))
 
     def write(rows):
         for row in rows:
-            os.makedirs(f"{root}/{row['source']}", exist_ok=True)
-            with open(f"{root}/{row['source']}/{row['name']}", "wb") as f:
+            with storage.create(storage.join(root, row["source"], row["name"])) as f:
                 f.write(row["text"].encode("utf-8"))
 
     files.foreachPartition(write)
-    return tree_documents(spark, root)
+    return root
+
+
+def tree_scan(spark, sf):
+    """Documents written as a tree of files, then scanned, read and rolled up."""
+    return tree_documents(spark, _written_tree(spark, sf))
+
+
+def tree_scan_parts(spark, sf):
+    """The same in small pieces: files read a thousand bytes at a time, folders held a few thousand characters at a time."""
+    return _rejoined(tree_documents(spark, _written_tree(spark, sf), chunk_bytes=1000, part_chars=PART_CHARS), "path")
+
+
+def _rejoined(parts: DataFrame, key: str) -> DataFrame:
+    in_order = F.sort_array(F.collect_list(F.struct("part", "content")))
+    counted = (F.count("*") == F.max("parts")) & (F.count("*") == F.count_distinct("part")) & (F.max("part") + 1 == F.max("parts"))
+    cut = F.bool_and((F.col("part") + 1 == F.col("parts")) | F.col("content").rlike(r"(\n|[.!?][ \t\f\r])\z"))
+    return parts.groupBy(key).agg(F.array_join(in_order["content"], "").alias("content"), counted.alias("numbered"),
+                                  cut.alias("whole_sentences"))
+
+
+def _unit_parts(spark, sf) -> DataFrame:
+    return write_shared(text.rollup_units(_files(spark, sf), PART_CHARS), "unit_parts")
+
+
+def unit_rollup_parts(spark, sf):
+    return _rejoined(_unit_parts(spark, sf), "unit")
+
+
+def term_stats_parts(spark, sf):
+    """Words counted part by part, with sentences numbered through each unit."""
+    parts = _unit_parts(spark, sf).select(F.col("unit").alias("cluster"), "part", F.col("content").alias("text"))
+    numbered = parts.join(keywords.sentence_offsets(parts, "cluster"), ["cluster", "part"])
+    return keywords.term_stats(write_shared(keywords.gram_counts(numbered), "grams"))
+
+
+def _letters(texts: list[str]) -> list[list[float]]:
+    return [[t.count(c) / max(len(t), 1) for c in LETTERS] for t in texts]
+
+
+def embed_encoder_parts(spark, sf):
+    """A function as the encoder; units in several parts have one vector each."""
+    parts = _unit_parts(spark, sf).select(F.col("unit").alias("path"), "part", "parts", F.col("content").alias("text"))
+    vectors = embed.embed(parts, _letters).vectors
+    return vectors.select("path", *[F.round(F.col("features")[i].cast("double"), 4).alias(f"share_{c}") for i, c in enumerate(LETTERS)])
+
+
+def rescan_organized(spark, sf):
+    """A tree organised into itself, then scanned by its markers alone; what was written, and the moves."""
+    root = _written_tree(spark, sf)
+    path = f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}/manifest"
+    docs = tree_documents(spark, root)
+    structure = docs.select("path", F.concat(F.lit("Topic_"), F.regexp_extract("path", r"(\d)$", 1)).alias("folder"))
+    catalog = docs.select(F.concat_ws("/", F.lit(root), "path").alias("location"))
+    organize(structure, catalog, root, manifest=path, documents=docs)
+    scanned = read_tree(spark, root).groupBy("unit").agg(
+        F.count("length").alias("files"), F.sum("length").alias("size"))
+    written = (spark.read.option("basePath", root).parquet(f"{root}/folder=*").groupBy("folder")
+               .agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("size")))
+    moved = read_manifest(spark, path).groupBy(F.split_part("destination", F.lit("/"), F.lit(-2)).alias("folder")).agg(
+        F.count("*").alias("files"), F.lit(None).cast("bigint").alias("size"))
+    return (scanned.select(F.lit("scanned").alias("kind"), F.col("unit").alias("name"), "files", "size")
+            .unionByName(written.select(F.lit("written").alias("kind"), F.col("folder").alias("name"), "files", "size"))
+            .unionByName(moved.select(F.lit("moved").alias("kind"), F.col("folder").alias("name"), "files", "size")))
+
+
+def undo_chain(spark, sf):
+    """Organised four times, each time from where the last left off, and taken back at once; some places are taken by then."""
+    path = f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}/manifest"
+    docs = _documents(spark, sf)
+    catalog = docs.select("doc_id", F.concat_ws("/", F.lit("/run0"), _path()).alias("location"))
+    folder = F.concat(F.lit("Topic_"), F.regexp_extract("source", r"(\d)$", 1))
+    inside = _path()
+    for run in range(4):
+        structure = docs.select(folder.alias("folder"), inside.alias("path"))
+        catalog = write_shared(organize(structure, catalog, f"/run{run}", f"/run{run + 1}", path).catalog, "catalog")
+        inside = F.concat_ws("/", folder, inside)
+    others = docs.filter("doc_id % 7 = 0").select(
+        (-1 - F.col("doc_id")).alias("doc_id"), F.concat_ws("/", F.lit("/run0"), _path()).alias("location"))
+    return undo(spark, path, catalog.unionByName(others)).catalog.select("doc_id", "location")
 
 
 def embed_tfidf(spark, sf):
@@ -407,5 +488,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q fo
     cluster_inertia, calinski_harabasz, silhouette_exact, silhouette_squared, kmeans_assign,
     sweep_metrics, select_k, term_stats, keyword_scores, keyword_topk, keyword_distinct, folder_name,
     folder_merge, structure_summary, organize_plan, undo_plan, apply_plan, undo_roundtrip, undo_repeated, manifest,
-    write_folders, decode_bytes, docx_lines, tree_scan, embed_tfidf, kmeans_best, kmeans_fit,
+    write_folders, decode_bytes, docx_lines, tree_scan, tree_scan_parts,
+    unit_rollup_parts, term_stats_parts, embed_encoder_parts, rescan_organized, undo_chain, embed_tfidf, kmeans_best, kmeans_fit,
     kmeans_sweep, analyze_documents, analyze_vectors, analyze_vectors_paths)}

@@ -120,14 +120,53 @@ def test_documents_in_parts_get_the_vector_of_the_whole(spark):
     assert whole.keys() == split.keys() and all(np.allclose(whole[p], split[p]) for p in whole)
     assert {frozenset(g) for g in groups(analyze(parts, max_clusters=4).structure).values()} == {
         frozenset(g) for g in groups(analyze(docs, max_clusters=4).structure).values()}
-    with pytest.raises(RuntimeError):
-        analyze(parts, encoder=lambda texts: [[1.0] for _ in texts])
+
+
+def letters():
+    """Shares of letters: the mean by length over parts is that of the whole."""
+    return lambda texts: [[t.count(c) / max(len(t), 1) for c in "aeiou"] for t in texts]
+
+
+def test_an_encoder_s_vectors_of_parts_are_pooled_by_length(spark):
+    rows = [("a", 0, 3, "aaaa"), ("a", 1, 3, "eb"), ("a", 2, 3, ""), ("b", 0, 1, "uuo"), ("c", 0, 1, ""), ("d", 0, 2, "ai"), ("d", 1, 2, "xx")]
+    found = {r.path: r.features for r in embed(spark.createDataFrame(
+        rows, "path string, part int, parts int, text string"), letters()).vectors.collect()}
+    assert found.keys() == set("abcd")
+    # An empty part weighs as much as one character.
+    for path, wanted in {"a": [4 / 7, 1 / 7, 0, 0, 0], "b": [0, 0, 0, 1 / 3, 2 / 3], "c": [0] * 5, "d": [.25, 0, .25, 0, 0]}.items():
+        assert np.allclose(found[path], wanted)
+
+
+def tree(root):
+    rng = np.random.default_rng(1)
+    ends = [". ", ".\n", "! ", "\n", " ", " ", " ", "?  ", ", ", "3.5 ", "... ", ".", "\n\n  ", " Mr. "]
+    for topic, words in TOPICS.items():
+        for unit in range(4):
+            (root / f"{topic}{unit}").mkdir()
+            for name in range(12):
+                text = "".join(w.title() + e if n % 7 == 0 else w + e for n, (w, e) in enumerate(
+                    zip(rng.choice(words.split(), 60), rng.choice(ends, 60))))
+                (root / f"{topic}{unit}/{name:02d}.txt").write_text(text)
+        (root / f"{topic}.txt").write_text(" ".join(rng.choice(words.split(), 900)) + ".\nThe end. ")
+
+
+@pytest.mark.parametrize("encoder", ["tfidf", letters()])
+def test_the_size_of_parts_and_pieces_changes_nothing(spark, tmp_path, encoder):
+    tree(tmp_path)
+    def found(**sizes):
+        result = analyze_tree(spark, str(tmp_path), max_clusters=4, restarts=3, encoder=encoder, **sizes)
+        names = dict(result.structure.join(result.assignments, "path").select("cluster", "folder").distinct().collect())
+        words = {(names[r.cluster], r.rank, r.keyword, round(math.log(r.score), 8)) for r in result.keywords.collect()}
+        return result.k, groups(result.structure), words
+
+    assert found(part_chars=100, chunk_bytes=70) == found()
 
 
 def test_segments_to_transcripts(spark):
     df = spark.createDataFrame([("a", i, 4000, f"w{i}") for i in range(4)], "path string, seq int, frames bigint, text string")
-    assert segment_transcripts(df).first().transcript == "w0 w1 w2 w3"
-    assert segment_transcripts(df, 8000).first().transcript == "w0 w1"
+    assert segment_transcripts(df, 2000).first().transcript == "w0 w1 w2 w3"
+    assert segment_transcripts(df, 4).first().transcript == "w0 w..."
+    assert segment_transcripts(df, 2000, 8000).first().transcript == "w0 w1"
 
 
 def test_stream_is_prepared_like_a_batch(spark, tmp_path):

@@ -1,4 +1,9 @@
 from corpusfold.operators import layout
+import random
+from datetime import datetime
+
+import pytest
+
 from corpusfold.plans.organize import organize, undo
 from corpusfold.sinks import write_manifest, write_organized
 from corpusfold.sources.corpus import read_manifest
@@ -87,3 +92,43 @@ def test_documents_are_written_by_folder(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").glob("folder=*")) == ["folder=F", "folder=G"]
     got = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.folder, r.path) for r in got.collect()) == [("F", "a"), ("F", "c"), ("G", "b")]
+
+
+def plainly(runs, here):
+    """Runs (of destination: source) taken back one after the other, the last one first."""
+    here, plan = dict(here), []
+    for name, moves in reversed(runs):
+        taken = set(here.values())
+        status = {d: "missing" if d not in taken else "conflict" if s in taken else "restore" for d, s in moves.items()}
+        plan += [(name, moves[d], d, status[d]) for d in moves]
+        here = {i: moves[p] if status.get(p) == "restore" else p for i, p in here.items()}
+    return here, sorted(plan)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_undo_of_many_runs_agrees_with_one_after_the_other(spark, seed):
+    rng = random.Random(seed)
+    paths = [f"p{i}" for i in range(25)]
+    runs = [(f"run{t:02d}", {d: s for d, s in zip(rng.sample(paths, 12), rng.sample(paths, 12)) if d != s}) for t in range(11)]
+    here = dict(enumerate(rng.sample(paths, 14)))
+    rows = [(name, s, d, datetime(2024, 1, 1 + t)) for t, (name, moves) in enumerate(runs) for d, s in moves.items()]
+    undone = layout.undo_moves(spark.createDataFrame(rows, "run_id string, source string, destination string, moved_at timestamp"),
+                               spark.createDataFrame([(p,) for p in here.values()], "path string"))
+    after, plan = plainly(runs, here)
+    assert sorted(map(tuple, undone.plan.collect())) == plan and {r[3] for r in plan} == {"missing", "conflict", "restore"}
+    places = dict(map(tuple, undone.places.collect()))
+    assert {i: places.get(p, p) for i, p in here.items()} == after
+
+
+def test_fifty_runs_take_few_jobs(spark):
+    rows = [(f"run{t:02d}", f"/{t}/{d}", f"/{t + 1}/{d}", datetime(2024, 1, 1, t // 60, t % 60)) for t in range(50) for d in range(4)]
+    moves = spark.createDataFrame(rows, "run_id string, source string, destination string, moved_at timestamp")
+    here = spark.createDataFrame([(f"/50/{d}",) for d in range(4)], "path string")
+    spark.sparkContext.setJobGroup("undo", "undo")
+    try:
+        undone = layout.undo_moves(moves, here)
+        assert sorted(map(tuple, undone.places.collect())) == [(f"/50/{d}", f"/0/{d}") for d in range(4)]
+        assert undone.plan.groupBy("status").count().collect() == [("restore", 200)]
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("undo")) < 120
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
