@@ -18,6 +18,11 @@ from corpusfold.functions.vectors import (
 
 SEED, RESTARTS, MAX_ITER, TOLERANCE = 42, 10, 300, 1e-4
 
+# Rounds that draw candidates for the starts; attempts at clustering these, and their rounds of Lloyd.
+ROUNDS, TRIES, POLISH = 4, 3, 10
+# Tasks whose draws come to the driver.
+MERGERS = 32
+
 # Centres of all fits that run side by side; each task holds them and their sums once.
 STATE_BYTES = 64 << 20
 
@@ -73,9 +78,8 @@ def fit_all(df: DataFrame, ks: Sequence[int], features: str = "features", restar
 
 def _fit_lanes(points: DataFrame, dim: int, ks: list[int], lanes: range, seed: int,
                max_iter: int, tol: float) -> Iterator[Fit]:
-    starts, tasks = _plus_plus(points, dim, max(ks), lanes, seed), points.rdd.getNumPartitions()
-    # Seeds are drawn one after the other, so the first k of a lane are a start for k clusters.
-    running = [(k, starts[lane, :k]) for k in ks for lane in range(len(lanes))]
+    tasks = points.rdd.getNumPartitions()
+    running = _starts(points, tasks, dim, ks, lanes, seed)
     limit = None
     for _ in range(max_iter):
         sums = _lloyd_pass(points, tasks, dim, [c for _, c in running])
@@ -101,23 +105,84 @@ def _fit_lanes(points: DataFrame, dim: int, ks: list[int], lanes: range, seed: i
     yield from (Fit(*fit) for fit in left)
 
 
-def _plus_plus(points: DataFrame, dim: int, k: int, lanes: range, seed: int) -> np.ndarray:
-    """k-means++ starts for every lane: each next centre is drawn in proportion to the squared distance.
+def _starts(points: DataFrame, tasks: int, dim: int, ks: list[int], lanes: range, seed: int) -> list[tuple[int, np.ndarray]]:
+    """``(k, centres)`` to start from, for every k and lane, after ROUNDS + 1 passes over the vectors.
 
-    A draw from weights w is the row with the least -ln(u)/w, u uniform, so each task
-    reports one row per lane and no total is needed beforehand.
+    Bahmani et al., "Scalable k-means++", VLDB 2012: each round draws as many candidates as the largest k at once, in
+    proportion to the squared distance to those drawn before. One more pass counts the rows nearest to each candidate, and
+    the candidates with these weights are clustered on the driver; there are max(k) x ROUNDS of them per lane.
     """
-    centers = np.empty((len(lanes), 0, dim))
-    for step in range(k):
-        drawn = (points.mapInArrow(_draw(centers, dim, [(seed, lane, step) for lane in lanes]),
-                                   "lane int, key double, vector array<double>")
-                 .groupBy("lane").agg(F.min(F.struct("key", "vector"))["vector"].alias("vector"))
-                 .collect())
-        nearest = np.empty((len(lanes), 1, dim))
-        for row in drawn:
-            nearest[row["lane"], 0] = row["vector"]
-        centers = np.concatenate([centers, nearest], axis=1)
-    return centers
+    candidates = [np.empty((0, dim)) for _ in lanes]
+    for step in range(ROUNDS):
+        drawn = _smallest(points.mapInArrow(_draw(candidates, dim, [(seed, lane, step) for lane in lanes], max(ks)), DRAWN), tasks, max(ks))
+        candidates = [np.concatenate([own, drawn[i]]) if i in drawn else own for i, own in enumerate(candidates)]
+    weights = [np.zeros(len(c)) for c in candidates]
+    for row in points.mapInArrow(_weigh(candidates, dim), "lane int, candidate int, n bigint").groupBy("lane", "candidate").agg(
+            F.sum("n").alias("n")).collect():
+        weights[row["lane"]][row["candidate"]] = row["n"]
+    return [(k, _recluster(candidates[i], weights[i], k, np.random.default_rng([seed, lane, k])))
+            for k in ks for i, lane in enumerate(lanes)]
+
+
+DRAWN = "lane int, key double, vector array<double>"
+
+
+def _smallest(drawn: DataFrame, tasks: int, want: int) -> dict[int, np.ndarray]:
+    """Per lane the ``want`` vectors with the least keys, of as many from each task."""
+    if tasks > 1:
+        # Dealt out and cut down once more, so that the driver hears from a bounded number of tasks.
+        drawn = drawn.repartition(min(tasks, MERGERS)).mapInArrow(_keep_smallest(want), DRAWN)
+    table = drawn.toArrow()
+    lane, key = table.column("lane").to_numpy(), table.column("key").to_numpy()
+    vectors = list_matrix(table.column("vector")) if table.num_rows else None
+    order = np.lexsort((key, lane))
+    return {int(i): vectors[order[lane[order] == i][:want]] for i in np.unique(lane)}
+
+
+def _keep_smallest(want: int):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[float, np.ndarray]]] = {}
+        for batch in batches:
+            lanes, keys = batch.column("lane").to_pylist(), batch.column("key").to_pylist()
+            for lane, key, vector in zip(lanes, keys, list_matrix(batch.column("vector"))):
+                best = held.setdefault(lane, [])
+                if len(best) < want or key < best[-1][0]:
+                    best.append((key, vector))
+                    best.sort(key=lambda b: b[0])
+                    del best[want:]
+        yield from _drawn_batch([(lane, key, v) for lane, best in held.items() for key, v in best])
+    return keep
+
+
+def _drawn_batch(found: list[tuple[int, float, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found]),
+             list_array(np.stack([f[2] for f in found]))], names=["lane", "key", "vector"])
+
+
+def _recluster(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` centres of weighted candidates: k-means++ and a few rounds of Lloyd, the best of TRIES."""
+    best, least = None, np.inf
+    for _ in range(TRIES):
+        at = [rng.choice(len(candidates), p=weights / weights.sum())]
+        away = squared_distances(candidates, candidates[at])[:, 0]
+        while len(at) < k:
+            share = weights * away
+            # With fewer different rows than centres some are repeated.
+            at.append(rng.choice(len(candidates), p=share / share.sum()) if share.sum() > 0 else at[0])
+            away = np.minimum(away, squared_distances(candidates, candidates[at[-1:]])[:, 0])
+        centers = candidates[at]
+        for _ in range(POLISH):
+            label = squared_distances(candidates, centers).argmin(1)
+            member = np.zeros((len(candidates), k))
+            member[np.arange(len(candidates)), label] = weights
+            n = member.sum(0)
+            centers = np.where(n[:, None] > 0, (member.T @ candidates) / np.maximum(n, 1)[:, None], centers)
+        cost = float(weights @ squared_distances(candidates, centers).min(1))
+        if cost < least:
+            best, least = centers, cost
+    return best
 
 
 def _uniform(draw: np.ndarray, stream: tuple[int, int, int]) -> np.ndarray:
@@ -130,34 +195,54 @@ def _uniform(draw: np.ndarray, stream: tuple[int, int, int]) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0 ** -53
 
 
-def _draw(centers: np.ndarray, dim: int, streams: list[tuple[int, int, int]]):
-    lanes, k = centers.shape[:2]
+def _nearest_of_lanes(x: np.ndarray, candidates: list[np.ndarray]) -> Iterator[np.ndarray | None]:
+    """Squared distances of the rows to the candidates of each lane; None for a lane without any."""
+    ends = np.cumsum([len(c) for c in candidates])
+    away = squared_distances(x, np.concatenate(candidates)) if ends[-1] else None
+    for c, end in zip(candidates, ends):
+        yield away[:, end - len(c):end] if len(c) else None
 
+
+def _draw(candidates: list[np.ndarray], dim: int, streams: list[tuple[int, int, int]], want: int):
+    """A draw from weights w takes the rows with the least -ln(u)/w, u uniform: no total is needed beforehand."""
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.inf, None)] * lanes
+        keys = [np.empty(0) for _ in candidates]
+        vectors = [np.empty((0, dim)) for _ in candidates]
         for batch in batches:
             for part, x in dense_slices(batch, dim):
                 rows = part.column("draw").to_numpy()
-                if k:
-                    weights = squared_distances(x, centers.reshape(-1, dim))
-                    weights = weights.reshape(len(x), lanes, k).min(2)
-                for lane in range(lanes):
+                for lane, away in enumerate(_nearest_of_lanes(x, candidates)):
                     key = -np.log(_uniform(rows, streams[lane]))
-                    if k:
-                        # A row that is a centre already is drawn only when nothing else is left.
-                        w = weights[:, lane]
-                        key = np.divide(key, w, out=np.full(len(x), np.finfo(float).max), where=w > 0)
-                    i = int(key.argmin())
-                    if key[i] < best[lane][0]:
-                        best[lane] = (float(key[i]), x[i].copy())
-        found = [(lane, key, v) for lane, (key, v) in enumerate(best) if v is not None]
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found]),
-                 list_array(np.stack([f[2] for f in found]))], names=["lane", "key", "vector"])
+                    if away is not None:
+                        # A row that is a candidate already is not drawn again.
+                        w = away.min(1)
+                        key = np.divide(key, w, out=np.full(len(x), np.inf), where=w > 0)
+                    found = np.argsort(key, kind="stable")[:want]
+                    found = found[np.isfinite(key[found])]
+                    merged = np.concatenate([keys[lane], key[found]])
+                    least = np.argsort(merged, kind="stable")[:want]
+                    vectors[lane] = np.concatenate([vectors[lane], x[found]])[least]
+                    keys[lane] = merged[least]
+        yield from _drawn_batch([(lane, float(key), v) for lane in range(len(candidates)) for key, v in zip(keys[lane], vectors[lane])])
     return draw
 
 
+def _weigh(candidates: list[np.ndarray], dim: int):
+    """How many rows are nearest to each candidate."""
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(len(c), np.int64) for c in candidates]
+        for batch in batches:
+            for _, x in dense_slices(batch, dim):
+                for lane, away in enumerate(_nearest_of_lanes(x, candidates)):
+                    counts[lane] += np.bincount(away.argmin(1), minlength=len(counts[lane]))
+        lane = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        at, n = np.concatenate([np.arange(len(c)) for c in counts]), np.concatenate(counts)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(lane[used], pa.int32()), pa.array(at[used], pa.int32()), pa.array(n[used], pa.int64())],
+                                         names=["lane", "candidate", "n"])
+    return weigh
+
+
 def _lloyd_pass(points: DataFrame, tasks: int, dim: int, runs: list[np.ndarray]) -> dict:
     """Per centre (numbered through all runs): rows assigned, their inertia and their sum.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -20,6 +21,9 @@ from corpusfold.session import write_shared
 # Rows on either side of one block of the exact silhouette.
 TILE_ROWS = 1_000
 
+# The sampled silhouette: relative error of a distance to a cluster, the probability that some is worse, and what a sample may hold.
+ERROR, DOUBT, SAMPLE_BYTES = 0.25, 0.1, 512 << 20
+
 METRICS = "k int, distortion double, silhouette double, calinski double"
 
 
@@ -31,13 +35,13 @@ class Groups(NamedTuple):
 
 
 def labelling_metrics(df: DataFrame, ks: Sequence[int], features: str = "features",
-                      labels: str = "labels", silhouette: str | None = "squared") -> DataFrame:
+                      labels: str = "labels", silhouette: str | None = "squared", error: float = ERROR) -> DataFrame:
     """One row per labelling: ``k, distortion, silhouette, calinski``.
 
     ``labels`` is an ``array<int>``; its j-th entry, in ``0 .. ks[j]-1``, is the row's cluster in the
     j-th labelling. Sums need two passes and are shared by all labellings. ``silhouette`` is
-    ``squared`` (squared Euclidean, one pass), ``exact`` (Euclidean, every pair, in blocks: quadratic) or None to
-    leave it out.
+    ``squared`` (squared Euclidean, one pass), ``exact`` (Euclidean, every pair, in blocks: quadratic), ``sampled``
+    (Euclidean, estimated in linear time, see ``silhouette``) or None to leave it out.
     """
     ks = list(ks)
     dim = vector_size(df, features)
@@ -48,6 +52,8 @@ def labelling_metrics(df: DataFrame, ks: Sequence[int], features: str = "feature
         scores = [None] * len(ks)
     elif silhouette == "exact":
         scores = _silhouette_exact(points, dim, ks, groups)
+    elif silhouette == "sampled":
+        scores = _silhouette_sampled(points, dim, ks, groups, error)
     elif silhouette == "squared":
         scores = _silhouette_squared(points, dim, groups)
     else:
@@ -67,14 +73,21 @@ def calinski_harabasz(df: DataFrame, k: int, features: str = "features", cluster
 
 
 def silhouette(df: DataFrame, k: int, method: str = "exact", features: str = "features",
-               cluster: str = "cluster") -> DataFrame:
-    """Mean over all rows of (b - a) / max(a, b); a row alone in its cluster counts as 0."""
-    return _one_labelling(df, k, features, cluster, method).select("k", "silhouette")
+               cluster: str = "cluster", error: float = ERROR) -> DataFrame:
+    """Mean over all rows of (b - a) / max(a, b); a row alone in its cluster counts as 0.
+
+    ``sampled`` estimates the Euclidean measure from a sample of each cluster (Altieri et al., "Scalable distributed
+    approximation of internal measures for clustering evaluation", SDM 2021): rows are drawn in proportion to their share in
+    the distances, at least, so that with probability 1 - DOUBT each row's distance to each cluster is within ``error`` of its value, and
+    the silhouette within 4 ``error`` / (1 - ``error``). Clusters not larger than their sample are exact. The sample grows
+    with 1 / ``error`` squared and the logarithm of the rows, the work with the rows.
+    """
+    return _one_labelling(df, k, features, cluster, method, error).select("k", "silhouette")
 
 
-def _one_labelling(df, k, features, cluster, method) -> DataFrame:
+def _one_labelling(df, k, features, cluster, method, error=None) -> DataFrame:
     labelled = df.select(features, F.array(F.col(cluster).cast("int")).alias("labels"))
-    return labelling_metrics(labelled, [k], features, "labels", method)
+    return labelling_metrics(labelled, [k], features, "labels", method, error or ERROR)
 
 
 def _label_matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -230,6 +243,113 @@ def _silhouette_exact(points: DataFrame, dim: int, ks: list[int], groups: Groups
     return _mean_scores(rows_with_sums.mapInArrow(score, SCORE_SCHEMA), rows, len(ks))
 
 
+def _silhouette_sampled(points: DataFrame, dim: int, ks: list[int], groups: Groups, error: float, seed: int = 42) -> list[float]:
+    """Four passes: first rows of each cluster, their distances to it, the sample those call for, and the scores.
+
+    All labellings draw by the same number of a row, so their samples overlap and share the distances.
+    """
+    rows, sizes = int(groups.n[0].sum()), np.concatenate(groups.n)
+    first = np.cumsum([0] + ks[:-1])
+    wanted = math.ceil(math.log(4 * rows * max(ks) / DOUBT) / (2 * error * error))
+    # Written once, so that a row keeps its number: copies of a row are drawn one by one.
+    numbered = write_shared(points.withColumn("row", F.monotonically_increasing_id()), "silhouette_rows")
+    few = np.minimum(1.0, 2 * math.log(2 * max(ks) / DOUBT) / np.maximum(sizes, 1))
+    pilots = _drawn_rows(numbered, dim, len(ks), lambda x, labels: few[labels + first], seed)
+    shares = np.zeros((len(pilots.x), len(ks)))
+    if len(pilots.x):
+        for row in numbered.mapInArrow(_pilot_sums(pilots, dim, len(ks)), "pilot int, labelling int, total double").groupBy(
+                "pilot", "labelling").agg(F.sum("total").alias("total")).collect():
+            shares[row["pilot"], row["labelling"]] = row["total"]
+
+    def chance(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """At least in proportion to what a row adds to the distances of the pilots of its cluster, and to one over its size."""
+        away = np.sqrt(squared_distances(x, pilots.x)) if len(pilots.x) else np.zeros((len(x), 0))
+        found = np.empty(labels.shape)
+        for j in range(labels.shape[1]):
+            share = np.divide(away, shares[:, j], out=np.zeros_like(away), where=shares[:, j] > 0)
+            share[labels[:, j][:, None] != pilots.labels[:, j]] = 0.0
+            n = sizes[labels[:, j] + first[j]]
+            most = np.maximum(1 / n, share.max(1, initial=0.0))
+            found[:, j] = np.where(n <= wanted, 1.0, np.minimum(1.0, 2 * wanted * most))
+        return found
+
+    sample = _drawn_rows(numbered, dim, len(ks), chance, seed + 1)
+    inside = sample.draw[:, None] < sample.chance
+    weight = np.zeros((len(sample.x), sum(ks)))
+    for j in range(len(ks)):
+        own = np.flatnonzero(inside[:, j])
+        weight[own, sample.labels[own, j] + first[j]] = 1 / sample.chance[own, j]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(ks))
+        for batch in batches:
+            for part, x in dense_slices(batch, dim):
+                labels, sums = _label_matrix(part), np.zeros((len(x), sum(ks)))
+                for at in range(0, len(sample.x), _SAMPLE_ROWS):
+                    some = slice(at, at + _SAMPLE_ROWS)
+                    away = np.sqrt(squared_distances(x, sample.x[some]))
+                    # A row's distance to itself is nought, which the expanded form may miss.
+                    away[np.equal.outer(part.column("row").to_numpy(), sample.row[some])] = 0.0
+                    sums += away @ weight[some]
+                for j, k in enumerate(ks):
+                    total[j] += _scores(sums[:, first[j]:first[j] + k], labels[:, j], groups.n[j]).sum()
+        yield _score_batch(total)
+
+    return _mean_scores(numbered.mapInArrow(score, SCORE_SCHEMA), rows, len(ks))
+
+
+_SAMPLE_ROWS = 1024
+
+
+class Drawn(NamedTuple):
+    x: np.ndarray
+    labels: np.ndarray
+    row: np.ndarray
+    draw: np.ndarray
+    chance: np.ndarray
+
+
+def _drawn_rows(numbered: DataFrame, dim: int, labellings: int, chance, seed: int) -> Drawn:
+    """The rows whose number in (0, 1) is below their chance in some labelling; how many is set by the chances, not the rows."""
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, x in dense_slices(batch, dim):
+                number = (part.column("draw").to_numpy().view(np.uint64) >> np.uint64(11)).astype(float) * 2.0 ** -53
+                labels = _label_matrix(part)
+                likely = chance(x, labels)
+                own = np.flatnonzero((number[:, None] < likely).any(1))
+                if len(own):
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("row").take(own), pa.array(number[own]), list_array(labels[own].astype(np.int32)),
+                         list_array(likely[own]), list_array(x[own])], names=["row", "number", "labels", "chance", "vector"])
+
+    numbered = numbered.withColumn("draw", F.xxhash64("row", F.lit(seed)))
+    drawn = write_shared(numbered.mapInArrow(draw, "row bigint, number double, labels array<int>, chance array<double>, vector array<double>"),
+                         "silhouette_sample")
+    if drawn.count() * dim * 8 > SAMPLE_BYTES:
+        raise ValueError("the sample of the silhouette is too large: allow a larger error")
+    table = drawn.orderBy("row").toArrow()
+    if not table.num_rows:
+        return Drawn(np.zeros((0, dim)), np.zeros((0, labellings), int), np.zeros(0, int), np.zeros(0), np.zeros((0, labellings)))
+    return Drawn(list_matrix(table.column("vector")), list_matrix(table.column("labels")), table.column("row").to_numpy(),
+                 table.column("number").to_numpy(), list_matrix(table.column("chance")))
+
+
+def _pilot_sums(pilots: Drawn, dim: int, labellings: int):
+    """Distances of each pilot to all rows of its cluster."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(pilots.x), labellings))
+        for batch in batches:
+            for part, x in dense_slices(batch, dim):
+                away, labels = np.sqrt(squared_distances(x, pilots.x)), _label_matrix(part)
+                for j in range(labellings):
+                    total[:, j] += np.where(labels[:, j][:, None] == pilots.labels[:, j], away, 0.0).sum(0)
+        pilot, labelling = np.divmod(np.arange(total.size), labellings)
+        yield pa.RecordBatch.from_arrays([pa.array(pilot, pa.int32()), pa.array(labelling, pa.int32()), pa.array(total.reshape(-1))],
+                                         names=["pilot", "labelling", "total"])
+    return sums
+
+
 def _block_sums(block: pa.Table, sums: np.ndarray) -> pa.Table:
     return pa.table({"row": block.column("row"), "labels": block.column("labels"), "sums": list_array(sums)})
 

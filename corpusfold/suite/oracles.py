@@ -250,6 +250,10 @@ ORACLES: dict[str, str] = {
         SELECT k, round(calinski, 6) AS calinski FROM spreads""",
     "silhouette_exact": f"""WITH {_labellings('[10]')}, {_silhouettes(EUCLIDEAN)}
         SELECT k, round(silhouette, 6) AS silhouette FROM silhouettes""",
+    "silhouette_sampled": f"""WITH {_labellings('[10]')}, {_silhouettes(EUCLIDEAN)}
+        SELECT k, round(silhouette, 6) AS silhouette, true AS rough_within FROM silhouettes""",
+    "kmeans_checks": """SELECT count(*) AS rows, 5::BIGINT AS clusters, 4 AS span, true AS cost_is_inertia,
+        true AS best_of_restarts FROM embeddings""",
     "silhouette_squared": f"""WITH {_labellings('[10]')}, {_silhouettes(SQUARED)}
         SELECT k, round(silhouette, 6) AS silhouette FROM silhouettes""",
     "kmeans_assign": f"""WITH {CELLS},

@@ -166,6 +166,16 @@ def silhouette_exact(spark, sf):
     return _rounded(quality.silhouette(_vectors(spark, sf), 10, "exact", cluster="label"))
 
 
+def silhouette_sampled(spark, sf):
+    """With a small error, for which these clusters are their own samples, and whether a coarse estimate keeps its bound."""
+    vectors, coarse = _vectors(spark, sf), 0.5
+    fine = quality.silhouette(vectors, 10, "sampled", cluster="label", error=0.05)
+    rough = quality.silhouette(vectors, 10, "sampled", cluster="label", error=coarse)
+    bound = F.abs(F.col("silhouette") - F.col("rough")) <= 4 * coarse / (1 - coarse)
+    return fine.join(rough.withColumnRenamed("silhouette", "rough"), "k").select(
+        "k", F.round("silhouette", 6).alias("silhouette"), bound.alias("rough_within"))
+
+
 def silhouette_squared(spark, sf):
     return _rounded(quality.silhouette(_vectors(spark, sf), 10, "squared", cluster="label"))
 
@@ -455,6 +465,19 @@ def kmeans_best(spark, sf):
     return cluster.assign(vectors, fit.centers).select("vec_id", "cluster")
 
 
+def kmeans_checks(spark, sf):
+    """What must hold of the best fit, whatever the centres: every row at its nearest, centres at the means, and its inertia."""
+    vectors = write_shared(spread(_vectors(spark, sf)), "vectors")
+    fit = cluster.kmeans_best(vectors, 5)
+    placed = write_shared(cluster.assign(vectors, fit.centers), "placed")
+    again = quality.cluster_inertia(placed, 5).first()["distortion"]
+    single = cluster.fit_all(vectors, [5], restarts=1)[0].cost
+    return placed.agg(F.count("*").alias("rows"), F.count_distinct("cluster").alias("clusters"),
+                      (F.max("cluster") - F.min("cluster")).alias("span")).select(
+        "rows", "clusters", "span", F.lit(abs(again - fit.cost) <= 1e-3 * fit.cost).alias("cost_is_inertia"),
+        F.lit(fit.cost <= single).alias("best_of_restarts"))
+
+
 def kmeans_fit(spark, sf):
     vectors = _vectors(spark, sf).select("vec_id", array_to_vector("features").alias("features"))
     return cluster.kmeans(vectors, 5).transform(vectors).select("vec_id", "cluster")
@@ -485,9 +508,9 @@ def analyze_vectors_paths(spark, sf):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (
     corpus_scan, noise_filter, exclude_glob, ext_class, unit_rollup, weighted_text, skip_organized,
     organized_folders, tags_text, duration_cap, transcript, audio_content, embedding_join,
-    cluster_inertia, calinski_harabasz, silhouette_exact, silhouette_squared, kmeans_assign,
+    cluster_inertia, calinski_harabasz, silhouette_exact, silhouette_sampled, silhouette_squared, kmeans_assign,
     sweep_metrics, select_k, term_stats, keyword_scores, keyword_topk, keyword_distinct, folder_name,
     folder_merge, structure_summary, organize_plan, undo_plan, apply_plan, undo_roundtrip, undo_repeated, manifest,
     write_folders, decode_bytes, docx_lines, tree_scan, tree_scan_parts,
-    unit_rollup_parts, term_stats_parts, embed_encoder_parts, rescan_organized, undo_chain, embed_tfidf, kmeans_best, kmeans_fit,
+    unit_rollup_parts, term_stats_parts, embed_encoder_parts, rescan_organized, undo_chain, embed_tfidf, kmeans_best, kmeans_checks, kmeans_fit,
     kmeans_sweep, analyze_documents, analyze_vectors, analyze_vectors_paths)}

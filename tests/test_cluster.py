@@ -164,3 +164,55 @@ def test_candidates_and_limits():
     assert candidate_ks(100) == list(range(2, 11)) and candidate_ks(4, 10) == [2, 3] and candidate_ks(2) == []
     with pytest.raises(ValueError):
         check_max_clusters(2)
+
+
+def test_starts_take_few_passes_and_are_no_worse(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    data = np.concatenate([rng.normal(c, 1.0, (60, 6)) for c in rng.uniform(-12, 12, (8, 6))])
+    df = write_shared(spark.createDataFrame([(v.tolist(),) for v in data], "features array<double>").repartition(4), "blobs")
+    passes, draw, weigh = [], cluster._draw, cluster._weigh
+    monkeypatch.setattr(cluster, "_draw", lambda *a: passes.append("draw") or draw(*a))
+    monkeypatch.setattr(cluster, "_weigh", lambda *a: passes.append("weigh") or weigh(*a))
+    points = df.select(*cluster.vector_columns(df), F.xxhash64("features", F.lit(1)).alias("draw"))
+    k = 8
+    fits = list(cluster._fit_lanes(points, 6, [k], range(10), 1, 100, 1e-4))
+    assert len(passes) == 5 and len(fits) == 10
+
+    def plain(seed):
+        """k-means++, one centre at a time, then Lloyd."""
+        own = np.random.default_rng(seed)
+        centers = data[[own.integers(len(data))]]
+        while len(centers) < k:
+            w = ((data[:, None] - centers) ** 2).sum(2).min(1)
+            centers = np.concatenate([centers, data[[own.choice(len(data), p=w / w.sum())]]])
+        for _ in range(100):
+            label = ((data[:, None] - centers) ** 2).sum(2).argmin(1)
+            centers = np.stack([data[label == c].mean(0) if (label == c).any() else centers[c] for c in range(k)])
+        return ((data[:, None] - centers) ** 2).sum(2).min(1).sum()
+
+    assert np.mean([f.cost for f in fits]) <= 1.02 * np.mean([plain(seed) for seed in range(10)])
+
+
+def test_fewer_different_rows_than_centres(spark):
+    df = write_shared(spark.createDataFrame([([1.0, 2.0],)] * 7 + [([5.0, 5.0],)] * 2, "features array<double>"), "twos")
+    fits = cluster.fit_all(df, [2, 3], restarts=2)
+    assert [f.k for f in fits] == [2, 3] and all(f.cost < 1e-9 and np.isfinite(f.centers).all() for f in fits)
+
+
+def test_sampled_silhouette_keeps_its_bound_and_grows_with_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    data = np.concatenate([rng.normal(c, s, (n, 5)) for c, s, n in ((0, 1, 500), (4, 2, 250), (-3, .5, 40), (9, 1, 5))] + [np.full((120, 5), 2.0)])
+    labels = np.repeat(np.arange(5), [500, 250, 40, 5, 120])
+    df = write_shared(spark.createDataFrame([(v.tolist(), int(c), [int(c), int(c) % 2]) for v, c in zip(data, labels)],
+                                            "features array<double>, cluster int, labels array<int>").repartition(3), "rows")
+    exact = [r.silhouette for r in quality.labelling_metrics(df, [5, 2], silhouette="exact").orderBy("k", ascending=False).collect()]
+    sizes, drawn = [], quality._drawn_rows
+    monkeypatch.setattr(quality, "_drawn_rows", lambda *a: sizes.append(drawn(*a)) or sizes[-1])
+    for error, near in ((0.1, 1e-9), (0.3, 0.05), (0.5, 0.1)):
+        found = [r.silhouette for r in quality.labelling_metrics(df, [5, 2], silhouette="sampled", error=error).orderBy("k", ascending=False).collect()]
+        assert all(abs(a - b) <= min(4 * error / (1 - error), near) for a, b in zip(found, exact))
+    # Two samples a run, the first a handful; the last sample is a part of the rows.
+    assert len(sizes[-1].x) < 0.8 * len(data) and len(sizes[0].x) < 200
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 100)
+    with pytest.raises(ValueError):
+        quality.silhouette(df, 5, "sampled")
