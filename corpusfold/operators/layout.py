@@ -14,12 +14,15 @@ def merge_folders(assignments: DataFrame, names: DataFrame) -> DataFrame:
     """``folder_order, folder, path``: clusters of one name share a folder.
 
     One row per document: a folder may hold most of the corpus, so its paths are never put in one
-    row. Folders are numbered by their first path. ``names`` has a row per cluster.
+    row. Folders are numbered by their first path. ``names`` has a row per cluster. Nothing runs before the result is
+    asked for: first paths are taken per cluster, and a table of that size meets the documents in one join.
     """
-    placed = assignments.join(broadcast_if_small(names.select("cluster", "folder")), "cluster")
-    first = placed.groupBy("folder").agg(F.min("path").alias("first_path"))
-    order = first.select("folder", F.row_number().over(Window.orderBy("first_path")).alias("folder_order"))
-    return placed.join(broadcast_if_small(order), "folder").select("folder_order", "folder", "path")
+    firsts = assignments.groupBy("cluster").agg(F.min("path").alias("first_path"))
+    named = names.select("cluster", "folder").join(firsts, "cluster")
+    # Paths are unique, so no two folders have the same first one.
+    named = named.withColumn("first_path", F.min("first_path").over(Window.partitionBy("folder")))
+    order = named.select("cluster", "folder", F.dense_rank().over(Window.orderBy("first_path")).alias("folder_order"))
+    return assignments.join(order, "cluster").select("folder_order", "folder", "path")
 
 
 def structure_summary(structure: DataFrame) -> DataFrame:

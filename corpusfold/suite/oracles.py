@@ -206,6 +206,20 @@ UNIT_TEXTS = f"""unit_texts AS MATERIALIZED (SELECT source AS doc_id, source AS
 TREE_TEXT = _strip(r"regexp_replace(text, '\r\n?', chr(10), 'g')")
 TOPIC = r"'Topic_' || regexp_extract(source, '(\d)$', 1)"
 
+# Phrases of three words: the middle one counts by its score, or as a stop word by how firmly it is bound to its neighbours.
+TRIPLES = rf"""{SCORES},
+runs AS MATERIALIZED (SELECT cluster, is_break, raw_next, word AS w0, next_word AS w1, lead(word, 2) OVER w AS w2,
+    lead(raw, 2) OVER w AS raw_third FROM tokens WINDOW w AS (PARTITION BY doc_id, sentence ORDER BY place)),
+triples AS MATERIALIZED (SELECT cluster, w0, w1, w2, count(*) AS n FROM runs WHERE NOT is_break AND w2 IS NOT NULL
+    AND raw_next NOT IN (',', ';', ':', '(', ')', '[', ']', '{{', '}}', '"')
+    AND raw_third NOT IN (',', ';', ':', '(', ')', '[', ']', '{{', '}}', '"')
+    AND NOT regexp_matches(w1, '^\p{{N}}+$') GROUP BY ALL),
+parts AS (SELECT t.*, a.s AS s0, b.s AS s1, c.s AS s2, b.stop AS stop, (p.n / a.tf::DOUBLE) * (q.n / c.tf::DOUBLE) AS bound
+    FROM triples t JOIN usable a ON a.cluster = t.cluster AND a.word = t.w0 JOIN terms b ON b.cluster = t.cluster AND b.word = t.w1
+    JOIN usable c ON c.cluster = t.cluster AND c.word = t.w2
+    JOIN pairs p ON p.cluster = t.cluster AND p.w0 = t.w0 AND p.w1 = t.w1
+    JOIN pairs q ON q.cluster = t.cluster AND q.w0 = t.w1 AND q.w1 = t.w2)"""
+
 ORACLES: dict[str, str] = {
     "corpus_scan": f"SELECT {PATH} AS path, text AS content FROM documents",
     "noise_filter": f"""WITH {URLS} SELECT page_id, rel_path FROM urls
@@ -279,6 +293,9 @@ ORACLES: dict[str, str] = {
         left_words, left_total, right_words, right_total, median_sentence FROM stats""",
     "keyword_scores": f"""WITH {SCORES} SELECT cluster, keyword, size, tf,
         round(log_score, 6) AS log_score FROM candidates""",
+    "keyword_scores_three": f"""WITH {TRIPLES} SELECT cluster, w0 || ' ' || w1 || ' ' || w2 AS keyword, n AS tf,
+        round(ln(s0 * CASE WHEN stop THEN 2 - bound ELSE s1 END * s2
+            / (n * (1 + s0 + CASE WHEN stop THEN bound - 1 ELSE s1 END + s2))), 6) AS log_score FROM parts""",
     "keyword_topk": f"""WITH {SCORES} SELECT cluster, CAST(rank AS INTEGER) AS rank, keyword,
         round(log_score, 6) AS log_score FROM ranked WHERE rank <= 25""",
     "keyword_distinct": f"""WITH {DISTINCT}
@@ -336,4 +353,13 @@ ORACLES: dict[str, str] = {
     "undo_chain": f"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '/run1/' || {TOPIC} || '/' || {PATH} ELSE '/run0/' || {PATH} END
         AS location FROM documents
         UNION ALL SELECT -1 - doc_id, '/run0/' || {PATH} FROM documents WHERE doc_id % 7 = 0""",
+    "tree_extractors": f"""SELECT doc_id || CASE WHEN lang = 'en' THEN '.rev' ELSE '.txt' END AS path,
+        sha256(CASE WHEN lang = 'en' THEN text ELSE {TREE_TEXT} END) AS content_sha256 FROM documents""",
+    "prepared_stream": f"""SELECT source || '/' || {PATH} AS rel_path, source AS unit, {PATH} AS name, '.txt' AS ext, 'readable' AS kind,
+        repeat({PATH}, 3) || ' ' || text AS text FROM documents WHERE doc_id % 10 <> 7""",
+    "candidate_range": """WITH counts AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 2), (3, 3), (4, 5)) c(i, n)
+            UNION ALL SELECT 5, count(*) FROM embeddings WHERE label < 1 UNION ALL SELECT 6, count(*) FROM embeddings WHERE label < 5
+            UNION ALL SELECT 7, count(*) FROM embeddings WHERE label < 10)
+        SELECT CAST(i AS INTEGER) AS "case", CAST(k AS INTEGER) AS k FROM counts, range(2, 11) r(k) WHERE k <= n - 1""",
+    "analyze_documents_paths": f"SELECT {PATH} AS path, 1::BIGINT AS places FROM documents",
 }

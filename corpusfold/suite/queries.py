@@ -23,6 +23,7 @@ from corpusfold.sources.content import decode_text, docx_text
 from corpusfold.sources import storage
 from corpusfold.sources.corpus import read_corpus, read_manifest
 from corpusfold.sources.tree import read_tree
+from corpusfold.streaming.prepare import prepare_stream
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 KS = list(range(2, 11))
@@ -223,6 +224,14 @@ def keyword_scores(spark, sf):
         "cluster", "keyword", "size", "tf", F.round(F.log("score"), 6).alias("log_score"))
 
 
+def keyword_scores_three(spark, sf):
+    """Phrases of three words, stop words inside them included."""
+    stop_words = keywords.default_stop_words()
+    grams, scores = keywords.score_words(_labelled_texts(spark, sf), 3, stop_words)
+    return keywords.keyword_scores(grams, scores, stop_words, 3).filter("size = 3").select(
+        "cluster", "keyword", "tf", F.round(F.log("score"), 6).alias("log_score"))
+
+
 def keyword_topk(spark, sf):
     return keywords.keyword_topk(_keyword_scores(spark, sf), 25).select(
         "cluster", "rank", "keyword", F.round(F.log("score"), 6).alias("log_score"))
@@ -448,6 +457,47 @@ def undo_chain(spark, sf):
     return undo(spark, path, catalog.unionByName(others)).catalog.select("doc_id", "location")
 
 
+def tree_extractors(spark, sf):
+    """A tree with files of a kind of its own, read by a function, and files in a declared encoding."""
+    root = f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}/tree"
+    files = spread(_documents(spark, sf).select("doc_id", "lang", "text"))
+
+    def write(rows):
+        for row in rows:
+            ext, encoding = ("rev", "utf-8") if row["lang"] == "en" else ("txt", "cp1252")
+            with storage.create(storage.join(root, f"{row['doc_id']}.{ext}")) as f:
+                data = row["text"].encode(encoding, "replace")
+                f.write(data[::-1] if ext == "rev" else data)
+
+    files.foreachPartition(write)
+    found = tree_documents(spark, root, extractors={".rev": lambda data: data[::-1].decode()}, encoding="cp1252")
+    return found.select("path", F.sha2("content", 256).alias("content_sha256"))
+
+
+def prepared_stream(spark, sf):
+    """Documents as a stream of files, prepared as they arrive."""
+    root = f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}"
+    files = _files(spark, sf).select("rel_path", "content")
+    files.write.parquet(f"{root}/in")
+    stream = prepare_stream(spark.readStream.schema(files.schema).parquet(f"{root}/in"), 3, exclude_patterns=["*7.txt"])
+    query = (stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def candidate_range(spark, sf):
+    """The numbers of clusters that are tried, from the number of rows."""
+    counts = [_vectors(spark, sf).filter(F.col("label") < n).count() for n in (1, 5, 10)]
+    rows = [(i, k) for i, n in enumerate([0, 1, 2, 3, 5, *counts]) for k in choose.candidate_ks(n, 10)]
+    return spark.createDataFrame(rows, "case int, k int")
+
+
+def analyze_documents_paths(spark, sf):
+    """Every document has one place."""
+    return analyze_documents(spark, sf).groupBy("path").agg(F.count("*").alias("places"))
+
+
 def embed_tfidf(spark, sf):
     raw = F.unwrap_udt("features")
     cells = F.inline(F.arrays_zip(raw["indices"].alias("bucket"), raw["values"].alias("weight")))
@@ -509,8 +559,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q fo
     corpus_scan, noise_filter, exclude_glob, ext_class, unit_rollup, weighted_text, skip_organized,
     organized_folders, tags_text, duration_cap, transcript, audio_content, embedding_join,
     cluster_inertia, calinski_harabasz, silhouette_exact, silhouette_sampled, silhouette_squared, kmeans_assign,
-    sweep_metrics, select_k, term_stats, keyword_scores, keyword_topk, keyword_distinct, folder_name,
+    sweep_metrics, select_k, term_stats, keyword_scores, keyword_scores_three, keyword_topk, keyword_distinct, folder_name,
     folder_merge, structure_summary, organize_plan, undo_plan, apply_plan, undo_roundtrip, undo_repeated, manifest,
     write_folders, decode_bytes, docx_lines, tree_scan, tree_scan_parts,
-    unit_rollup_parts, term_stats_parts, embed_encoder_parts, rescan_organized, undo_chain, embed_tfidf, kmeans_best, kmeans_checks, kmeans_fit,
+    unit_rollup_parts, term_stats_parts, embed_encoder_parts, rescan_organized, undo_chain, tree_extractors, prepared_stream,
+    candidate_range, analyze_documents_paths, embed_tfidf, kmeans_best, kmeans_checks, kmeans_fit,
     kmeans_sweep, analyze_documents, analyze_vectors, analyze_vectors_paths)}
