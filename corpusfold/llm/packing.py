@@ -19,7 +19,7 @@ from corpusfold.session import write_shared
 
 CAPACITY = 4096
 # A block of pieces is packed by one task at a time: about so many sequences.
-BLOCK_WINDOWS = 256
+BLOCK_WINDOWS = 96
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
 
@@ -129,8 +129,8 @@ def fill_windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``pieces`` (``doc_id, start, length`` and any more) with ``sequence_id`` and ``offset``.
 
-    Pieces are dealt by a hash into blocks of about ``block_windows`` sequences, and each block is packed by
-    differencing. Padding is what near-equal windows leave, well under one window in a hundred for blocks of
+    Pieces are dealt by a hash of what they are and of their row into blocks of about ``block_windows`` sequences, so that
+    pieces without an id, or copies of one, are spread like all others; each block is packed by differencing. Padding is what near-equal windows leave, well under one window in a hundred for blocks of
     the usual size. Columns of those two names are replaced. An empty table gives no rows.
     """
     pieces = pieces.drop("sequence_id", "offset")
@@ -152,7 +152,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block_windows: int
         return rows.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
     schema = T.StructType([*stored.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return (stored.withColumn("_block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
+    row = F.xxhash64("doc_id", "start", F.monotonically_increasing_id())
+    return (stored.withColumn("_block", F.pmod(row, F.lit(blocks)))
             .groupBy("_block").applyInArrow(pack, schema))
 
 

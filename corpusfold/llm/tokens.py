@@ -14,20 +14,21 @@ _LOADED: dict[str, "Encoder"] = {}
 
 
 # A chunk of such characters has the words that WORDS finds, as the tokenizer's own pattern does; all others go to
-# the tokenizer as they are. Letters and digits of Latin-1 are fixed values.
+# the tokenizer as they are. Letters and digits of Latin-1 are fixed values. Chunks are looked at many at once, a line end between them.
 PLAIN = re.compile("[!-~\xa1-\xff]*")
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+PLAIN_LINES = re.compile("[\n!-~\xa1-\xff]*")
+WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\n0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, the same as ``Tokenizer.encode`` gives.
 
     For a tokenizer with word ends that lowers letters: it never joins what stands on two sides of a blank, nor
-    letters with other signs, so each different chunk and word is encoded once per worker. Past ``LIMIT``
-    entries only what the last slice of texts had is remembered; long chunks are not kept.
+    letters with other signs, so each different chunk of a slice of texts is split once and each different word encoded once
+    per worker. Past ``LIMIT`` words only what the last slice of texts had is remembered.
     """
 
-    LIMIT, LONG, SLICE = 1_000_000, 64, 16_000_000
+    LIMIT, SLICE = 1_000_000, 16_000_000
 
     def __init__(self, path: str):
         import os
@@ -39,58 +40,76 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self._forget()
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+    def _forget(self) -> None:
+        """Word numbers, and the ids of word ``n`` at ``ids[bounds[n]:bounds[n + 1]]``."""
+        self.numbers: dict[str, int] = {}
+        self.ids, self.bounds = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _encode(self, chunks: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4") for e in found]
 
     def _learn(self, words: list[str]) -> None:
         """Encode words in one go: each ends with an id that ends a word."""
-        lines = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
-        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        found = self._encode([" ".join(words[i:i + 500]) for i in range(0, len(words), 500)])
+        ids = np.concatenate(found)
+        stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
-            self.words.update(zip(words, self._encode(words)))
-            return
-        data = ids.tobytes()
-        self.words.update((w, data[4 * a:4 * b]) for w, a, b in zip(words, [0, *stops], stops))
-
-    def _find(self, chunks: list[str]) -> list[bytes]:
-        """Ids of different chunks."""
-        new = [c for c in chunks if c not in self.known]
-        plain = [c for c in new if "<|" not in c and PLAIN.fullmatch(c)]
-        other = list(set(new).difference(plain))
-        parts = [WORDS.findall(c.lower()) for c in plain]
-        words = list(set().union(*parts).difference(self.words))
-        if words:
-            self._learn(words)
-        self.known.update(zip(plain, (b"".join(map(self.words.__getitem__, p)) for p in parts)))
-        self.known.update(zip(other, self._encode(other)))
-        out = [*map(self.known.__getitem__, chunks)]
-        for c in new:
-            if len(c) > self.LONG:
-                del self.known[c]
-        # What the last texts had is what the next ones are likely to have.
-        if len(self.known) > self.LIMIT:
-            self.known = {"": b""} | {c: self.known[c] for c in chunks if c in self.known}
-        if len(self.words) > self.LIMIT:
-            self.words = {w: self.words[w] for w in words}
-        return out
+            found = self._encode(words)
+            ids, stops = np.concatenate(found), np.cumsum([len(f) for f in found])
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words))))
+        self.bounds = np.concatenate([self.bounds, stops + self.bounds[-1]])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _find(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different chunks, one after the other, and where each begins; the last entry is the end."""
+        lines = "\n".join(chunks)
+        other: dict[int, np.ndarray] = {}
+        if not PLAIN_LINES.fullmatch(lines) or "<|" in lines:
+            odd = [i for i, c in enumerate(chunks) if "<|" in c or not PLAIN.fullmatch(c)]
+            other = dict(zip(odd, self._encode([chunks[i] for i in odd])))
+            lines = "\n".join("" if i in other else c for i, c in enumerate(chunks))
+        coded = pa.array(["\n", *WORDS.findall(lines.lower())], pa.large_string()).dictionary_encode()
+        # The first of the different parts is the line end, which begins every chunk.
+        words = coded.dictionary.to_pylist()[1:]
+        if len(self.numbers) > self.LIMIT:
+            self._forget()
+        new = [w for w in words if w not in self.numbers]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        part = coded.indices.to_numpy()
+        begins = np.flatnonzero(part == 0)
+        first = np.concatenate([[0], self.bounds[number]])[part]
+        length = np.concatenate([[0], (self.bounds[1:] - self.bounds[:-1])[number]])[part]
+        ends = np.cumsum(length)
+        ids = self.ids[np.repeat(first - (ends - length), length) + np.arange(ends[-1])]
+        starts = np.concatenate([(ends - length)[begins], ends[-1:]])
+        if other:
+            pieces, last = [], 0
+            sizes = np.diff(starts)
+            for i, own in other.items():
+                pieces += [ids[last:starts[i]], own]
+                last = starts[i]
+                sizes[i] = len(own)
+            ids = np.concatenate([*pieces, ids[last:]])
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, starts
 
     def _texts(self, texts: pa.Array) -> Iterator[bytes]:
         chunks = pc.ascii_split_whitespace(texts)
         coded = chunks.flatten().dictionary_encode()
-        found = self._find(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(lengths) - lengths
+        found, starts = self._find(coded.dictionary.to_pylist() or [""])
         at = coded.indices.to_numpy()
-        counts = lengths[at]
-        ends = np.r_[0, np.cumsum(counts)]
-        where = np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])
-        ids = np.frombuffer(b"".join(found), "<u4")[where]
+        counts = np.diff(starts)[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        # Half the memory to go through where the numbers are small.
+        kind = np.int32 if max(ends[-1], len(found)) < 1 << 31 else np.int64
+        where = np.repeat((starts[at] - ends[:-1]).astype(kind), counts)
+        where += np.arange(ends[-1], dtype=kind)
+        ids = found[where]
         offsets = chunks.offsets.to_numpy()
         bounds = ends[offsets - offsets[0]].tolist()
         for a, b in zip(bounds, bounds[1:]):

@@ -113,6 +113,13 @@ def test_packing_cuts_and_places_every_id_once(spark, rows):
     assert {len(r.ids) // 4 for r in made} <= {512} | {1 << k for k in range(10)} and len(made) == len(windows)
 
 
+def test_pieces_without_an_id_are_spread_over_blocks(spark):
+    pieces = spark.range(400).selectExpr("CAST(NULL AS bigint) AS doc_id", "0L AS start", "100L + id % 300 AS length", "id AS row")
+    packed = packing.pack_pieces(pieces, 512, block_windows=8).collect()
+    blocks = Counter(r.sequence_id >> 32 for r in packed)
+    assert len(packed) == 400 and len({r.row for r in packed}) == 400 and len(blocks) > 10 and max(blocks.values()) < 80
+
+
 def test_differencing_is_near_equal_and_complete():
     rng = np.random.default_rng(1)
     for n, k in ((1, 1), (5, 7), (40, 4), (300, 50)):
