@@ -240,27 +240,50 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """``doc_id, class_id, class_size, kept`` for every row.
 
     Texts are linked whose probability Jaccard similarity of five-word shingles, weighted by how often they occur, is
-    at least ``similarity``; a class is all that is linked, named by its smallest id, which is kept. Texts with the
+    at least ``similarity``; a class is all that is linked, named by its smallest id. Texts with the
     same words in the same order are one class without comparison. Candidates are the pairs that
-    share a band of the signature (at the similarity itself 999 in 1000 do). Of repeated rows with one id, one is kept. Null
-    texts are empty; empty texts are one class. A null id is a class of its own with a null name. An empty table
-    gives no rows.
+    share a band of the signature (at the similarity itself 999 in 1000 do). A row is a document of its own, whether or not
+    others have its id or it has none (null): of each class the row with the smallest id is kept, one row only. Null
+    texts are empty; empty texts are one class. An empty table gives no rows.
 
     No bucket is expanded into all its pairs: first each member is compared with the least of its bucket, then,
     in buckets that are still not of one class, members of different classes whose signatures agree, until they are linked.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    keyed = write_shared(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
+                                     F.col(text_col).alias("text")), "rows")
+    return _placed(keyed, similarity).select("doc_id", "class_id", "class_size", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps: one of each class, with all their columns."""
+    keyed = write_shared(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = _placed(keyed.select(F.col("_row").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
+                                 F.col(text_col).alias("text")), similarity)
+    gone = found.filter("NOT kept").select(F.col("row").alias("_row"))
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
+
+
+def _placed(keyed: DataFrame, similarity: float) -> DataFrame:
+    """``row, doc_id, class_id, class_size, kept`` of a written table ``row, doc_id, text``."""
+    classes = near_classes(keyed.select(F.col("row").alias("id"), "text"), similarity)
+    placed = write_shared(keyed.select("row", "doc_id").join(classes.select(F.col("id").alias("row"), "class"), "row"), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    sizes = placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first"))
+    return placed.join(sizes, "class").select("row", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size",
+                                              (F.col("row") == F.col("first.row")).alias("kept"))
+
+
+def near_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, class``: the class of each row, named by its least id. ``rows`` is a written table ``id, text`` with unique ids."""
     sketched = write_shared(_sketches(rows), "sketches")
-    named = sketched.filter("id IS NOT NULL")
-    firsts = write_shared(named.groupBy("digest").agg(F.min("id").alias("id")), "firsts")
+    firsts = write_shared(sketched.groupBy("digest").agg(F.min("id").alias("id")), "firsts")
     # One row per different text: of the copies, the one with the least id.
-    different = write_shared(named.join(firsts.select("digest", F.col("id").alias("first")), "digest")
-                             .filter("id = first").dropDuplicates(["id"]).select("id", "signature", "keys"), "different")
+    different = write_shared(sketched.join(firsts.select("digest", F.col("id").alias("first")), "digest")
+                             .filter("id = first").select("id", "signature", "keys"), "different")
     banded = different.select(F.explode("keys").alias("key"), "id")
     buckets = banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("held")).filter("held > 1")
     members = write_shared(banded.join(buckets, "key"), "members")
-    texts = rows.filter("id IS NOT NULL").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = write_shared(texts, "texts")
+    texts = write_shared(rows.join(members.select("id").distinct(), "id", "left_semi"), "texts")
     stars = write_shared(members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = write_shared(_verified(stars, texts, similarity), "links")
     labels = components(links)
@@ -272,12 +295,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     more = write_shared(_links_left(open_, similarity), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    # Copies follow their first, firsts follow their class; null ids stand alone.
-    first_class = firsts.join(labels, "id", "left").select("digest", F.coalesce("least", "id").alias("class_id"))
-    rows_out = named.select("id", "digest").join(first_class, "digest").select(F.col("id").alias("doc_id"), "class_id")
-    sizes = rows_out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    found = write_shared(rows_out, "classes").join(sizes, "class_id")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0))) == 1
-    found = found.select("doc_id", "class_id", "class_size", ((F.col("doc_id") == F.col("class_id")) & one).alias("kept"))
-    return found.unionByName(sketched.filter("id IS NULL").select(
-        F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept")))
+    # Copies follow their first, firsts follow their class.
+    first_class = firsts.join(labels, "id", "left").select("digest", F.coalesce("least", "id").alias("class"))
+    return sketched.select("id", "digest").join(first_class, "digest").select("id", "class")

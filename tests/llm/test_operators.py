@@ -314,6 +314,29 @@ def test_near_duplicates(spark, words):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_are_documents_of_their_own(spark, words):
+    import corpus_pipeline as pipeline
+
+    text = lambda seed: " ".join(random.Random(seed).choice(words) for _ in range(100))
+    near = text(2).rsplit(" ", 1)[0] + " changed"
+    rows = [(1, text(1), "s"), (1, text(2), "s"), (2, near, "t"), (None, text(3), "t"), (None, text(3), "s"), (7, text(3) + " end", "s"),
+            (8, text(4), "s"), (8, text(4), "s"), (9, None, None), (None, "", "s")]
+    found = sorted(((r.doc_id, r.class_id, r.class_size, r.kept) for r in minhash.near_duplicates(table(spark, rows)).collect()), key=repr)
+    assert found == sorted([(1, 1, 1, True), (1, 1, 2, True), (2, 1, 2, False), (None, 7, 3, False), (None, 7, 3, False), (7, 7, 3, True),
+                            (8, 8, 2, True), (8, 8, 2, False), (9, 9, 2, True), (None, 9, 2, False)], key=repr)
+    kept = pipeline.near_dedup(spark, table(spark, rows), "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(1, text(1)), (1, text(2)), (7, text(3) + " end"), (8, text(4)), (9, "")])
+    assert len(kept[0]) == len(table(spark, rows).columns)
+    # The mix takes each row nought, once or twice, whatever its id; 150 % of the words are taken.
+    taken = Counter((r.doc_id, r.text) for r in pipeline.mix_sources(spark, table(spark, rows), "").collect())
+    held = Counter((i, t) for i, t, _ in rows)
+    assert all(n <= 2 * held[k] for k, n in taken.items())
+    words_of = lambda c: sum(n * len((t or "").split()) for (_, t), n in c.items())
+    assert abs(words_of(taken) - 1.5 * words_of(held)) <= 110
+    for stage in (pipeline.near_dedup, pipeline.mix_sources):
+        assert stage(spark, table(spark, []), "").count() == 0
+
+
 def test_large_buckets_are_compared_by_blocks(spark, words, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     rng = random.Random(9)
