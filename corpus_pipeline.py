@@ -37,14 +37,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates; rows of one id are one document."""
-    dropped = minhash.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near duplicates, the one with the smallest id; rows may share an id or have none."""
+    return minhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
-    return mixing.apply_mix(docs, mixing.mix(docs))
+    """Documents as often as the mix takes them: not at all, once or twice. Rows may share an id or have none."""
+    keyed = write_shared(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return mixing.apply_mix(keyed, mixing.mix(keyed, id_col="_row"), id_col="_row").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
