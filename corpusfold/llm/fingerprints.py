@@ -19,8 +19,8 @@ def sketch(text: Column, scale: int = SCALE, words: int = WORDS) -> Column:
     """Every different shingle hash below ``2**48 / scale``, ascending, as ``array<bigint>``.
 
     A shingle is a word with the ``words - 1`` words before it (fewer at the start of the text), in lower
-    case, so a text has as many shingles as words. The fraction is the same for all texts, so sketches of
-    parts merge into that of the whole by union, and sketches of very unequal texts can be compared. A text
+    case, so a text has as many shingles as words. The fraction is the same for all texts, so sketches of sets of
+    shingles ``merge`` into that of their union, and sketches of very unequal texts can be compared. A text
     with words none of whose hashes is below the threshold keeps its least hash; no words, no hashes.
     """
     parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
@@ -30,13 +30,15 @@ def sketch(text: Column, scale: int = SCALE, words: int = WORDS) -> Column:
         return F.transform(held, lambda w, i: F.shiftrightunsigned(F.xxhash64(F.slice(
             held, F.greatest(i - (words - 2), F.lit(1)), F.least(i + 1, F.lit(words)))), 64 - _BITS))
 
-    def kept(all_: Column) -> Column:
-        low = F.filter(all_, lambda h: h < F.lit((1 << _BITS) // scale))
-        least = F.when(F.size(all_) > 0, F.array(F.array_min(all_))).otherwise(low)
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(least)
-
     # Each step is given its input as a value, so nothing is computed twice.
-    return _let(_let(marks, hashes), kept)
+    return _let(_let(marks, hashes), lambda all_: _retained(all_, scale))
+
+
+def _retained(hashes: Column, scale: int) -> Column:
+    """Of some hashes those below the threshold, or the least if there are none."""
+    low = F.filter(hashes, lambda h: h < F.lit((1 << _BITS) // scale))
+    least = F.when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(low)
+    return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(least)
 
 
 def _let(value: Column, use) -> Column:
@@ -48,8 +50,9 @@ def to_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 12, "0"))), "")
 
 
-def merge(a: Column, b: Column) -> Column:
-    return F.array_sort(F.array_union(a, b))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of all the shingles of two sketches of that scale: a least hash above the threshold goes if others are below."""
+    return _let(F.array_union(a, b), lambda both: _retained(both, scale))
 
 
 def containment(a: Column, b: Column) -> Column:
