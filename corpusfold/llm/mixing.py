@@ -19,6 +19,8 @@ SHARE = 1.5
 MOST = 2
 # What is left of a budget after the even part is fitted exactly by dynamic programming below this size.
 EXACT = 1 << 16
+# The largest rest for which the sums in reach are kept, 4 bytes each; above it the longest texts that fit are taken first.
+SUMS = 1 << 24
 # Documents of one source and length are ranked in slices of about this many.
 SLICE = 50_000
 
@@ -52,7 +54,8 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     """How many of ``counts`` items of each size to take so that the sizes add up to ``budget`` or just below.
 
     An even share of every size is taken first, then single items by largest remainder until the rest of the
-    budget is small, and that is filled by bounded-knapsack dynamic programming over the sums in reach.
+    budget is small, and that is filled by bounded-knapsack dynamic programming over the sums in reach. Memory
+    is a few bytes for each word of the rest, which is below the longest text and EXACT, and below SUMS in any case.
     """
     total = int((sizes * counts).sum())
     if budget >= total:
@@ -61,32 +64,51 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     share = max(0, budget - min(EXACT, 4 * int(sizes.max()))) / total
     taken = np.floor(counts * share).astype(np.int64)
     left = budget - int((taken * sizes).sum())
-    order = np.argsort(-(counts * share - taken), kind="stable")
+    # Of equal remainders the longest come first: short texts fill what is left.
+    order = np.lexsort((-sizes, taken - counts * share))
     order = order[sizes[order] > 0]
     more = order[(np.cumsum(sizes[order]) <= left - EXACT) & (taken[order] < counts[order])]
     taken[more] += 1
     left -= int(sizes[more].sum())
-    # A set of sums is the bits of one integer; a size with many items goes in as 1, 2, 4, ... of them.
-    items, reach, limit = [], [1], (1 << (left + 1)) - 1
+    for i in order[np.argsort(-sizes[order], kind="stable")]:
+        if left <= SUMS:
+            break
+        more_ = min(int(counts[i] - taken[i]), (left - SUMS) // int(sizes[i]) + 1, left // int(sizes[i]))
+        taken[i] += more_
+        left -= more_ * int(sizes[i])
+    if left > SUMS:
+        return taken
+    # A set of sums is the bits of one integer; a size with many items goes in as 1, 2, 4, ... of them. For each sum the
+    # one step that reached it first is kept: those before it come from earlier steps, so no step is used twice.
+    reach, limit, items = 1, (1 << (left + 1)) - 1, []
+    step_of = np.full(left + 1, -1, np.int32)
     for i in order:
         spare, step = min(int(counts[i] - taken[i]), left // int(sizes[i])), 1
-        while spare > 0 and not reach[-1] >> left & 1:
+        while spare > 0 and not reach >> left & 1:
             step = min(step, spare)
+            new = reach << step * int(sizes[i]) & limit & ~reach
+            step_of[_set_bits(new)] = len(items)
             items.append((i, step))
-            reach.append((reach[-1] | reach[-1] << step * int(sizes[i])) & limit)
+            reach |= new
             spare -= step
             step *= 2
-        if reach[-1] >> left & 1:
+        if reach >> left & 1:
             break
-    at = reach[-1].bit_length() - 1
-    for j in range(len(items) - 1, -1, -1):
-        if not reach[j] >> at & 1:
-            i, step = items[j]
-            taken[i] += step
-            at -= step * int(sizes[i])
+    at = reach.bit_length() - 1
+    while at > 0:
+        i, step = items[step_of[at]]
+        taken[i] += step
+        at -= step * int(sizes[i])
     return taken
 
 
+def _set_bits(number: int) -> np.ndarray:
+    held = np.frombuffer(number.to_bytes((number.bit_length() + 7) // 8, "little"), np.uint8)
+    at = np.flatnonzero(held)
+    row, bit = np.nonzero(np.unpackbits(held[at, None], axis=1, bitorder="little"))
+    return at[row] * 8 + bit
+
+
 def _fit(group: pa.Table) -> pa.Table:
     """One row per length of a source: its ``extra`` items."""
     sizes, counts = group["size"].to_numpy(), group["documents"].to_numpy()
