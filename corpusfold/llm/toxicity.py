@@ -1,18 +1,20 @@
 """Toxic documents by a weighted grammar of clauses: insults and threats, at whom, negated or reported.
 
-Small transducers are composed. The first reads words through a prefix automaton of stems with weights; the
-next ones mark its output with targets, negations and reported speech of the same clause. The weights come
-from labelled documents.
+Small transducers are composed. A lexicon reads the letters of a word and puts out its weight and marks. Over the marks of
+a text run two more, each composed of simple ones: left to right for targets, negations and reports in front of a
+word, right to left for targets and reports behind it and for the kind of match. The weights come from labelled documents.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,69 +49,147 @@ PRIOR_STRENGTH = 4.0
 PRIOR_BIAS = -2.0
 SEED_WEIGHT = 3.0
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]")
-_WORD = re.compile(r"[^\W\d_]+")
-_WORD_JVM = r"\p{L}[\p{L}\p{M}]*"
+ENDS = ".!?;:\n"
+# What a word is, for learning and for matching: letters with their marks. The short forms do the same for ASCII, faster.
+_WORD, _TOKEN = (regex.compile(form.replace("L", r"\p{L}[\p{L}\p{M}]*")) for form in ("L", rf"L(?:'L)?|[{ENDS}]"))
+_WORD_ASCII, _TOKEN_ASCII = (re.compile(form.replace("L", "[a-z]+")) for form in ("L", rf"L(?:'L)?|[{ENDS}]"))
+
+# Marks of a word: what it is, then what is near it. END stands between clauses.
+MATCH, THREAT, TARGET, NEGATION, REPORT, AIMED, DENIED, TOLD, END = (1 << i for i in range(9))
+
+
+def folded(text: str | None) -> str:
+    """In lower case, letters and their marks as one character where there is one."""
+    low = (text or "").lower()
+    return low if low.isascii() else unicodedata.normalize("NFC", low).replace("’", "'")
+
+
+def words_of(low: str) -> set[str]:
+    return set((_WORD_ASCII if low.isascii() else _WORD).findall(low))
+
+
+class Transducer:
+    """A sequential transducer: from a state and a symbol to the next state and what is put out instead."""
+
+    def __init__(self, step: Callable[[Hashable, int], tuple[Hashable, object]], start: Hashable = 0):
+        self.step, self.start = step, start
+        # States are few; their arcs are kept when first taken.
+        self.arcs: dict[tuple[Hashable, int], tuple[Hashable, object]] = {}
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one puts out."""
+        def step(states, symbol):
+            first, between = self.step(states[0], symbol)
+            second, out = other.step(states[1], between)
+            return (first, second), out
+
+        return Transducer(step, (self.start, other.start))
+
+    def run(self, symbols: Iterable[int]) -> list:
+        state, out = self.start, []
+        for symbol in symbols:
+            arc = self.arcs.get((state, symbol))
+            if arc is None:
+                arc = self.arcs[state, symbol] = self.step(state, symbol)
+            state = arc[0]
+            out.append(arc[1])
+        return out
+
+
+def near(mark: int, gives: int, reach: int | None, itself: bool) -> Transducer:
+    """Adds ``gives`` to the words of a clause up to ``reach`` (None: any number) behind one with ``mark``, or on it."""
+    def step(left, symbol):
+        if symbol == END:
+            return 0, END
+        here = bool(symbol & mark)
+        out = symbol | gives if left or (itself and here) else symbol
+        return (reach or 1) if here else left if reach is None else max(0, left - 1), out
+
+    return Transducer(step)
+
+
+def judge(state, symbol: int) -> tuple[int, str | None]:
+    """The kind of a match; none for other words and for threats at nobody."""
+    if symbol == END or not symbol & MATCH or (symbol & THREAT and not symbol & AIMED):
+        return state, None
+    return state, "reported" if symbol & TOLD else "negated" if symbol & DENIED else "targeted" if symbol & AIMED else "plain"
+
+
+class Lexicon:
+    """Reads letters: the weight of a whole word, or else of its longest stem; 0: neither."""
+
+    def __init__(self, stems: dict[str, float], words: dict[str, float]):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.stem, self.whole = [0.0], [0.0]
+        for entries, weights in ((stems, self.stem), (words, self.whole)):
+            for entry, weight in entries.items():
+                state = 0
+                for letter in entry:
+                    after = self.arcs[state].get(letter)
+                    if after is None:
+                        after = self.arcs[state][letter] = len(self.arcs)
+                        self.arcs.append({})
+                        self.stem.append(0.0)
+                        self.whole.append(0.0)
+                    state = after
+                weights[state] = weight
+
+    def read(self, word: str) -> float:
+        state, best = 0, 0.0
+        for letter in word:
+            state = self.arcs[state].get(letter)
+            if state is None:
+                return best
+            best = self.stem[state] or best
+        return self.whole[state] or best
 
 
 class Grammar:
     """The composed transducers with their weights; small, and sent to every task."""
 
     def __init__(self, stems: dict[str, float], words: dict[str, float], bias: float, kinds: dict[str, float]):
-        self.stems, self.words, self.bias, self.kinds = stems, words, bias, kinds
-        self.symbols = {w: s for s, group in (("G", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in group}
-        self.threats = set(THREATS)
-        self.lengths = sorted({len(s) for s in stems}, reverse=True)
-        self.seen: dict[str, float] = {}
-
-    def weight(self, word: str) -> float:
-        """Insult and threat transducer: the weight of a word, from itself or else its longest stem; 0: neither."""
-        found = self.seen.get(word)
+        self.lexicon, self.bias, self.kinds = Lexicon(stems, words), bias, kinds
+        self.marks: dict[str, int] = {}
+        for mark, group in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+            for word in group:
+                self.marks[word] = self.marks.get(word, 0) | mark
+        self.forward = near(TARGET, AIMED, REACH["G"], True).then(near(NEGATION, DENIED, REACH["N"], False)).then(
+            near(REPORT, TOLD, None, True))
+        self.backward = near(TARGET, AIMED, REACH["G"], True).then(near(REPORT, TOLD, None, True)).then(Transducer(judge))
+        self.seen: dict[str, tuple[int, float]] = {}
+
+    def entry(self, token: str) -> tuple[int, float]:
+        """Marks and weight of a word, or the strongest of the parts around its apostrophe."""
+        found = self.seen.get(token)
         if found is None:
-            found = self.words.get(word, 0.0)
-            if not found:
-                found = next((self.stems[word[:n]] for n in self.lengths if n <= len(word) and word[:n] in self.stems), 0.0)
+            parts = {token, *token.split("'")} if "'" in token else (token,)
+            weight, marks = max(map(self.lexicon.read, parts)), NEGATION if token.endswith("n't") else 0
+            for part in parts:
+                marks |= self.marks.get(part, 0)
+            found = (marks | MATCH if weight else marks, weight)
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            self.seen[word] = found
+            self.seen[token] = found
         return found
 
-    def clauses(self, text: str) -> Iterator[list[str]]:
-        held: list[str] = []
-        for token in _TOKEN.findall(text):
-            if token in ".!?;:\n":
-                if held:
-                    yield held
-                held = []
-            else:
-                held.append(token)
-        if held:
-            yield held
-
-    def matches(self, clause: list[str]) -> Iterator[tuple[str, float]]:
-        """The kind and weight of each match, after the target, negation and report transducers."""
-        weights = [self.weight(w) for w in clause]
-        if not any(weights):
-            return
-        marks = [self.symbols.get(w, "") for w in clause]
-        reported = "R" in marks
-        for i, (word, weight) in enumerate(zip(clause, weights)):
-            if not weight:
-                continue
-            targeted = "G" in marks[max(0, i - REACH["G"]):i + REACH["G"] + 1]
-            if word in self.threats and not targeted:
-                continue
-            negated = "N" in marks[max(0, i - REACH["N"]):i]
-            yield ("reported" if reported else "negated" if negated else "targeted" if targeted else "plain"), weight
-
     def events(self, text: str | None) -> list[tuple[str, float]]:
         """The strongest match of each clause that has one."""
-        low = (text or "").lower()
+        low = folded(text)
         # Most texts have no word that could match: one look at each different word decides.
-        if not any(map(self.weight, set(_WORD.findall(low)))):
+        if not any(self.entry(word)[1] for word in words_of(low)):
             return []
-        found = ([*self.matches(c)] for c in self.clauses(low))
-        return [max(m, key=lambda x: self.kinds[x[0]] * x[1]) for m in found if m]
+        tokens = (_TOKEN_ASCII if low.isascii() else _TOKEN).findall(low)
+        entries = [(END, 0.0) if token in ENDS else self.entry(token) for token in tokens]
+        marked = self.forward.run(marks for marks, _ in entries)
+        kinds = self.backward.run(reversed(marked))[::-1]
+        out, best = [], None
+        for (marks, weight), kind in zip(entries, kinds):
+            if kind and (best is None or self.kinds[kind] * weight > self.kinds[best[0]] * best[1]):
+                best = (kind, weight)
+            if marks == END and best:
+                out.append(best)
+                best = None
+        return [*out, best] if best else out
 
     def features(self, text: str | None) -> list[float]:
         """The weight matched in each kind."""
@@ -139,12 +219,16 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed
     chance = min(1.0, train_rows / max(known, 1))
     marks = marks.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < int(chance * (1 << 30)))
     # About train_rows rows of twelve bytes: bounded by the parameter.
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(F.broadcast(marks), "_id").select("_text", "_toxic")
-    words = F.array_distinct(F.regexp_extract_all("_text", F.lit(_WORD_JVM), F.lit(0)))
+
+    @F.pandas_udf("array<string>")
+    def words(texts):
+        return texts.map(lambda t: sorted(words_of(folded(t))))
+
     toxic = F.sum("toxic").alias("a")
     counts = write_shared(
-        rows.select(F.col("_toxic").cast("bigint").alias("toxic"), F.explode(F.array_append(words, "")).alias("word"))
+        rows.select(F.col("_toxic").cast("bigint").alias("toxic"), F.explode(F.array_append(words("_text"), "")).alias("word"))
         .groupBy("word").agg(toxic, (F.count("*") - F.sum("toxic")).alias("b")), "word-counts")
     n = counts.filter("word = ''").first()
     a_rows, b_rows = (n["a"], n["b"]) if n else (0, 0)
