@@ -13,6 +13,8 @@ from corpusfold.llm import (exact_dedup, fingerprints, lexical_search, lines, mi
 from corpusfold.session import spread, write_shared
 
 SHARDS = 16
+# The key of the pseudonyms of the synthetic tables; real texts need a secret one, from the session's settings.
+PII_KEY_CONF, PII_TEST_KEY = "spark.corpusfold.pii.key", "synthetic tables"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -27,7 +29,7 @@ def op1_packing(spark, sf):
 
 
 def op2_pseudonyms(spark, sf):
-    return pii.pseudonymise(_table(spark, sf, "documents"))
+    return pii.pseudonymise(_table(spark, sf, "documents"), spark.conf.get(PII_KEY_CONF, PII_TEST_KEY))
 
 
 def op3_exact_dedup(spark, sf):
