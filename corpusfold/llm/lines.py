@@ -9,7 +9,7 @@ from corpusfold.session import broadcast_if_small, write_shared
 
 # A line on more than this share of a host's pages is boilerplate...
 RATIO = 0.1
-# ...if that is at least so many pages: a host with few pages says little.
+# ...if that is at least so many pages, or all pages of a host with two or more: a share of few pages says little.
 MIN_PAGES = 5
 # A source is far larger than a site, and texts share a line by chance the less the longer it is: RATIO holds for lines of
 # one word and halves with each word more. Above LONG_WORDS words so many documents are enough, however large the source;
@@ -30,16 +30,17 @@ def line_keys(text: Column) -> Column:
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``host, keys`` from ``host, text``: the lines on more than ``ratio`` of the host's pages.
 
-    A page counts once however often it has a line; a page that occurs twice counts twice. A host has at most
-    (mean lines of its pages) / ``ratio`` such lines.
+    That has to be ``min_pages`` pages at least, or each of two or more. A page counts once however often it has a
+    line; a page that occurs twice counts twice. A host has at most (mean lines of its pages) / ``ratio`` such lines.
     """
     totals = pages.groupBy(F.col("host").alias("_of")).agg(F.count("*").alias("total"))
     counts = (pages.select("host", F.explode(F.array_compact(F.array_distinct(line_keys(F.col("text"))))).alias("key"))
               .groupBy("host", "key").agg(F.count("*").alias("pages"))
-              .filter(F.col("pages") >= min_pages))
+              .filter(F.col("pages") >= min(2, min_pages)))
     # Totals are one small row per host; the other side has been counted down already.
     common = (counts.join(totals, F.col("host").eqNullSafe(F.col("_of")))
-              .filter(F.col("pages") > F.col("total") * F.lit(ratio)))
+              .filter((F.col("pages") > F.col("total") * F.lit(ratio))
+                      & ((F.col("pages") >= min_pages) | (F.col("pages") == F.col("total")))))
     return common.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 

@@ -182,22 +182,23 @@ ORACLES: dict[str, str] = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM n JOIN g USING (norm)""",
-    "op9_line_dedup": rf"""WITH p AS MATERIALIZED (SELECT page_id,
+    "op9_line_dedup": rf"""WITH p AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id,
             lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
             trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
                 '{lines._HIDDEN}', '', 'g'), '{lines._BLOCK}', chr(10), 'g'), '{lines._TAG}', '', 'g'),
                 '\n[\n \t]*', chr(10), 'g'), chr(10) || chr(32) || chr(9)) AS text FROM pages),
-        l AS MATERIALIZED (SELECT page_id, host, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
-            FROM (SELECT page_id, host, string_split(text, chr(10)) AS parts FROM p)),
+        l AS MATERIALIZED (SELECT r, host, generate_subscripts(parts, 1) AS i, unnest(parts) AS line
+            FROM (SELECT r, host, string_split(text, chr(10)) AS parts FROM p)),
         k AS MATERIALIZED (SELECT *, trim(line, chr(32) || chr(9) || chr(13)) AS key FROM l),
         t AS (SELECT host, count(*) AS total FROM p GROUP BY host),
-        b AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT page_id) AS n FROM k WHERE key <> ''
-            GROUP BY host, key) JOIN t USING (host) WHERE n >= {lines.MIN_PAGES} AND n > total * {lines.RATIO}),
+        b AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT r) AS n FROM k WHERE key <> ''
+            GROUP BY host, key) JOIN t USING (host) WHERE n > total * {lines.RATIO}
+            AND (n >= {lines.MIN_PAGES} OR (n >= 2 AND n = total))),
         m AS (SELECT k.*, b.key IS NOT NULL AS bad FROM k LEFT JOIN b ON k.host = b.host AND k.key = b.key),
-        s AS (SELECT page_id, count(*) FILTER (WHERE key <> '') AS n_lines, count(*) FILTER (WHERE bad) AS n_bad,
-            string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT bad) AS rest FROM m GROUP BY page_id)
+        s AS (SELECT r, count(*) FILTER (WHERE key <> '') AS n_lines, count(*) FILTER (WHERE bad) AS n_bad,
+            string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT bad) AS rest FROM m GROUP BY r)
         SELECT page_id, host, coalesce(n_lines, 0) AS n_lines,
             CASE WHEN n_bad < n_lines THEN n_bad ELSE 0 END AS n_dropped,
             sha256(CASE WHEN n_bad > 0 AND n_bad < n_lines THEN rest ELSE text END) AS text_sha256
-        FROM p LEFT JOIN s USING (page_id)""",
+        FROM p LEFT JOIN s USING (r)""",
 }
