@@ -71,10 +71,42 @@ def test_exact_duplicates(spark, rows):
     assert exact_dedup.exact_duplicates(table(spark, [])).count() == 0
 
 
-def test_unique_texts_pass_the_filter_unshuffled(spark):
-    marks = spark.range(20000).select(F.xxhash64("id").alias("mark"))
-    cells = exact_dedup.repeated_cells(marks.unionByName(marks.limit(10)), 10)
-    assert cells.count() >= 1 and cells.filter(F.octet_length("bits") != 4096).count() == 0
+def test_exact_duplicates_by_slices_of_the_filter(spark, rows):
+    def found(**options):
+        return Counter(exact_dedup.exact_duplicates(table(spark, rows), **options).drop("kept").collect())
+
+    # About 170 rows: 11 buckets, in slices of four.
+    assert found(cells_per_row=2048, slice_buckets=4) == found()
+
+
+@pytest.mark.parametrize("chunk_rows", [50, 1 << 20])
+def test_bits_of_repeated_cells(spark, chunk_rows):
+    made = spark.range(0, 3000, 1, 5).select(F.xxhash64(F.col("id") % 2500).alias("mark"))
+    made = made.unionByName(spark.createDataFrame([(0,)] * 40 + [(7,)], "mark bigint"))
+    buckets = 70
+    rows = made.select("mark", F.pmod(F.xxhash64("mark"), F.lit(buckets)).alias("bucket")).collect()
+    held = Counter((r.bucket, c) for r in rows for c in {(r.mark >> 15 * i) & 32767 for i in range(3)})
+    bits = {(r.bucket, 8 * i + j) for r in exact_dedup.repeated_cells(made, buckets, chunk_rows).collect()
+            for i, byte in enumerate(r.bits) for j in range(8) if byte >> j & 1}
+    assert bits == {cell for cell, n in held.items() if n > 1}
+
+
+def test_pass_one_shuffles_bitmaps_only(spark, capsys):
+    marks = spark.range(0, 200_000, 1, 4).select(F.xxhash64("id").alias("mark"))
+    buckets = 200_000 * exact_dedup.CELLS_PER_ROW // exact_dedup.BUCKET_BITS
+    assert exact_dedup.partial_bits(marks, buckets, 4).count() < 2000
+    exact_dedup.repeated_cells(marks, buckets).explain()
+    plan = capsys.readouterr().out
+    # The one exchange stands above the step that turns rows into bitmaps.
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+
+
+def test_rows_alone_pass_the_filter(spark):
+    rows = spark.range(0, 100_000, 1, 4).select(F.xxhash64("id").alias("mark"))
+    rows = exact_dedup.write_shared(rows.unionByName(rows.limit(100)), "marks")
+    tested = exact_dedup.possibly_repeated(rows).groupBy("mark").agg(F.count("*").alias("n"), F.first("maybe").alias("maybe"))
+    counts = {(r.n, r.maybe): r["count"] for r in tested.groupBy("n", "maybe").count().collect()}
+    assert counts[2, True] == 100 and (2, False) not in counts and counts[1, True] < 1000
 
 
 def test_encoder_gives_the_tokenizer_s_ids():
