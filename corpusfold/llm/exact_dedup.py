@@ -172,9 +172,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
     maybe = tested.filter("maybe").select("doc_id", "row", "text_sha256")
-    # A row per text after partial sums; a group with most rows is split by AQE in the join back.
-    groups = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("best"),
-                                              F.count("*").alias("group_size"))
+    # A row per text after partial sums, written: in the join back a text with most rows is no part of an aggregation, and
+    # can be split, or its few texts broadcast.
+    groups = write_shared(maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("best"),
+                                                           F.count("*").alias("group_size")), "groups")
     again = maybe.join(groups, "text_sha256").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
