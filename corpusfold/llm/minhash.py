@@ -268,7 +268,8 @@ def _placed(keyed: DataFrame, similarity: float) -> DataFrame:
     classes = near_classes(keyed.select(F.col("row").alias("id"), "text"), similarity)
     placed = write_shared(keyed.select("row", "doc_id").join(classes.select(F.col("id").alias("row"), "class"), "row"), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    sizes = placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first"))
+    # Written, so that in the join a class with most rows is no part of an aggregation and can be split.
+    sizes = write_shared(placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first")), "sizes")
     return placed.join(sizes, "class").select("row", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size",
                                               (F.col("row") == F.col("first.row")).alias("kept"))
 
@@ -281,15 +282,17 @@ def near_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     different = write_shared(sketched.join(firsts.select("digest", F.col("id").alias("first")), "digest")
                              .filter("id = first").select("id", "signature", "keys"), "different")
     banded = different.select(F.explode("keys").alias("key"), "id")
-    buckets = banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("held")).filter("held > 1")
+    # Totals of a key are written before they meet its rows again: a bucket with most rows can then be split.
+    buckets = write_shared(banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("held"))
+                           .filter("held > 1"), "buckets")
     members = write_shared(banded.join(buckets, "key"), "members")
     texts = write_shared(rows.join(members.select("id").distinct(), "id", "left_semi"), "texts")
     stars = write_shared(members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = write_shared(_verified(stars, texts, similarity), "links")
     labels = components(links)
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least")
-    mixed = (labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .filter("lo <> hi").select("key"))
+    mixed = write_shared(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                         .filter("lo <> hi").select("key"), "mixed")
     open_ = (labelled.join(mixed, "key").join(different.select("id", "signature"), "id").join(texts.select("id", "text"), "id")
              .withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")))
     more = write_shared(_links_left(open_, similarity), "links")
