@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusfold.session import write_shared
+from corpusfold.session import broadcast_if_small, write_shared
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -286,7 +286,9 @@ def near_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = write_shared(banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("held"))
                            .filter("held > 1"), "buckets")
     members = write_shared(banded.join(buckets, "key"), "members")
-    texts = write_shared(rows.join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    # Their ids are counted: as long as they fit a broadcast, the texts of all others are read and not shuffled.
+    wanted = broadcast_if_small(write_shared(members.select("id").distinct(), "wanted"), 1_000_000)
+    texts = write_shared(rows.join(wanted, "id", "left_semi"), "texts")
     stars = write_shared(members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = write_shared(_verified(stars, texts, similarity), "links")
     labels = components(links)
