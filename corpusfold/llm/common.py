@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusfold.session import working_root
+
 LEAST = -(1 << 63)
 
 
+class Scratch:
+    """Working tables in one folder of the shared storage, removed together once no result reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``write_shared``."""
+        path = f"{self.root}/{uuid.uuid4().hex}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def longs(values: Sequence[int]) -> Column:
     """A constant array of longs, built by the SQL parser in one call."""
     if not values:

@@ -6,7 +6,7 @@ similarity", IEEE TKDE 34 (2022).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusfold.llm.common import Scratch
 from corpusfold.session import broadcast_if_small, write_shared
 
+# Writes a working table under a name and reads it back.
+Write = Callable[[DataFrame, str], DataFrame]
+
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
@@ -163,22 +167,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, write: Write = write_shared) -> DataFrame:
     """``id, least``: the smallest id that each linked id is connected to.
 
     Each round every id takes the least label of its neighbours, and then the label of its label.
     Rounds are written to shared storage, and nothing but a count comes to the driver.
     """
-    both = write_shared(links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")),
+    both = write(links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")),
                                                        F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("e"))
                         .select("e.*").distinct(), "edges")
-    labels = write_shared(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("least")), "labels")
+    labels = write(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("least")), "labels")
     while True:
         heard = (both.join(labels.select(F.col("id").alias("other"), "least"), "other")
                  .groupBy("id").agg(F.min("least").alias("heard")))
         nearer = labels.join(heard, "id").select("id", F.col("least").alias("was"), F.least("least", "heard").alias("near"))
         jump = labels.select(F.col("id").alias("near"), F.col("least").alias("far"))
-        labels_new = write_shared(nearer.join(jump, "near", "left").select(
+        labels_new = write(nearer.join(jump, "near", "left").select(
             "id", F.least("near", F.coalesce("far", "near")).alias("least"), "was"), "labels")
         labels = labels_new.select("id", "least")
         if not labels_new.filter("least <> was").limit(1).count():
@@ -249,57 +253,62 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     No bucket is expanded into all its pairs: first each member is compared with the least of its bucket, then,
     in buckets that are still not of one class, members of different classes whose signatures agree, until they are linked.
     """
-    keyed = write_shared(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
+    scratch = Scratch(docs.sparkSession)
+    keyed = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
                                      F.col(text_col).alias("text")), "rows")
-    return _placed(keyed, similarity).select("doc_id", "class_id", "class_size", "kept")
+    return _placed(keyed, similarity, scratch).select("doc_id", "class_id", "class_size", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps: one of each class, with all their columns."""
     keyed = write_shared(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = _placed(keyed.select(F.col("_row").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
-                                 F.col(text_col).alias("text")), similarity)
+                                 F.col(text_col).alias("text")), similarity, Scratch(docs.sparkSession))
     gone = found.filter("NOT kept").select(F.col("row").alias("_row"))
     return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
-def _placed(keyed: DataFrame, similarity: float) -> DataFrame:
-    """``row, doc_id, class_id, class_size, kept`` of a written table ``row, doc_id, text``."""
-    classes = near_classes(keyed.select(F.col("row").alias("id"), "text"), similarity)
+def _placed(keyed: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """``row, doc_id, class_id, class_size, kept`` of a written table ``row, doc_id, text``; ``scratch`` is removed."""
+    classes = near_classes(keyed.select(F.col("row").alias("id"), "text"), similarity, scratch.write)
     placed = write_shared(keyed.select("row", "doc_id").join(classes.select(F.col("id").alias("row"), "class"), "row"), "classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     # Written, so that in the join a class with most rows is no part of an aggregation and can be split.
     sizes = write_shared(placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first")), "sizes")
+    scratch.remove()
     return placed.join(sizes, "class").select("row", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size",
                                               (F.col("row") == F.col("first.row")).alias("kept"))
 
 
-def near_classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``id, class``: the class of each row, named by its least id. ``rows`` is a written table ``id, text`` with unique ids."""
-    sketched = write_shared(_sketches(rows), "sketches")
-    firsts = write_shared(sketched.groupBy("digest").agg(F.min("id").alias("id")), "firsts")
+def near_classes(rows: DataFrame, similarity: float = SIMILARITY, write: Write = write_shared) -> DataFrame:
+    """``id, class``: the class of each row, named by its least id. ``rows`` is a written table ``id, text`` with unique ids.
+
+    Working tables, which the result reads, are written by ``write``.
+    """
+    sketched = write(_sketches(rows), "sketches")
+    firsts = write(sketched.groupBy("digest").agg(F.min("id").alias("id")), "firsts")
     # One row per different text: of the copies, the one with the least id.
-    different = write_shared(sketched.join(firsts.select("digest", F.col("id").alias("first")), "digest")
+    different = write(sketched.join(firsts.select("digest", F.col("id").alias("first")), "digest")
                              .filter("id = first").select("id", "signature", "keys"), "different")
     banded = different.select(F.explode("keys").alias("key"), "id")
     # Totals of a key are written before they meet its rows again: a bucket with most rows can then be split.
-    buckets = write_shared(banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("held"))
+    buckets = write(banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("held"))
                            .filter("held > 1"), "buckets")
-    members = write_shared(banded.join(buckets, "key"), "members")
+    members = write(banded.join(buckets, "key"), "members")
     # Their ids are counted: as long as they fit a broadcast, the texts of all others are read and not shuffled.
-    wanted = broadcast_if_small(write_shared(members.select("id").distinct(), "wanted"), 1_000_000)
-    texts = write_shared(rows.join(wanted, "id", "left_semi"), "texts")
-    stars = write_shared(members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = write_shared(_verified(stars, texts, similarity), "links")
-    labels = components(links)
+    wanted = broadcast_if_small(write(members.select("id").distinct(), "wanted"), 1_000_000)
+    texts = write(rows.join(wanted, "id", "left_semi"), "texts")
+    stars = write(members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    links = write(_verified(stars, texts, similarity), "links")
+    labels = components(links, write)
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("least", "id")).drop("least")
-    mixed = write_shared(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = write(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
                          .filter("lo <> hi").select("key"), "mixed")
     open_ = (labelled.join(mixed, "key").join(different.select("id", "signature"), "id").join(texts.select("id", "text"), "id")
              .withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")))
-    more = write_shared(_links_left(open_, similarity), "links")
+    more = write(_links_left(open_, similarity), "links")
     if more.limit(1).count():
-        labels = components(links.unionByName(more))
+        labels = components(links.unionByName(more), write)
     # Copies follow their first, firsts follow their class.
     first_class = firsts.join(labels, "id", "left").select("digest", F.coalesce("least", "id").alias("class"))
     return sketched.select("id", "digest").join(first_class, "digest").select("id", "class")

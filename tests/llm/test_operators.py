@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.llm import (exact_dedup, fingerprints, lines, minhash, mixing, packing, pii, sharding, token_files,
                             toxicity)
-from corpusfold.llm.common import range_of
+from corpusfold.llm.common import Scratch, range_of
 from corpusfold.llm.tokens import Encoder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,15 @@ def test_binary_search_of_splitters(spark):
     assert spark.range(3).select(range_of([], F.col("id")).alias("r")).distinct().collect()[0].r == 0
 
 
+def test_scratch_is_removed_as_a_whole(spark):
+    scratch = Scratch(spark)
+    assert scratch.write(spark.range(5), "a").count() == 5 and scratch.write(spark.range(7), "a").count() == 7
+    folder = scratch.root.removeprefix("file:")
+    assert len(os.listdir(folder)) == 2
+    scratch.remove()
+    assert not os.path.exists(folder)
+
+
 def test_exact_duplicates(spark, rows):
     found = exact_dedup.exact_duplicates(table(spark, rows)).collect()
     norm = [((t or "").translate(str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)), i) for i, t, _ in rows]
