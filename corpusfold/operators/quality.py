@@ -18,8 +18,10 @@ from corpusfold.functions.vectors import (
 from corpusfold.operators.cluster import SLOT_SCHEMA, slot_batch, sum_by_slot
 from corpusfold.session import write_shared
 
-# Rows on either side of one block of the exact silhouette.
-TILE_ROWS = 1_000
+# Rows on either side of one block of the exact silhouette: as many as fit these bytes, fewer while there are too few blocks for all cores.
+TILE_ROWS, TILE_BYTES = 1_000, 16 << 20
+# Distances that a task holds at a time.
+PAIR_BYTES = 16 << 20
 
 # The sampled silhouette: relative error of a distance to a cluster, the probability that some is worse, and what a sample may hold.
 ERROR, DOUBT, SAMPLE_BYTES = 0.25, 0.1, 512 << 20
@@ -190,6 +192,12 @@ def _silhouette_squared(points: DataFrame, dim: int, groups: Groups) -> list[flo
     return _mean_scores(points.mapInArrow(score, SCORE_SCHEMA), rows, len(groups.n))
 
 
+def _tiles(rows: int, dim: int, cores: int) -> int:
+    """Every row travels once per tile, so there are as few as memory allows, but enough for four pairs of tiles per core."""
+    enough = math.ceil(math.sqrt(8 * cores))
+    return max(1, -(-rows // max(TILE_ROWS, TILE_BYTES // (8 * dim))), min(-(-rows // TILE_ROWS), enough))
+
+
 def _silhouette_exact(points: DataFrame, dim: int, ks: list[int], groups: Groups) -> list[float]:
     """Every block of rows against every other, once; no pair ever becomes a row.
 
@@ -197,7 +205,7 @@ def _silhouette_exact(points: DataFrame, dim: int, ks: list[int], groups: Groups
     one array of summed distances per row: all labellings share each distance.
     """
     rows = int(groups.n[0].sum())
-    tiles = max(1, -(-rows // TILE_ROWS))
+    tiles = _tiles(rows, dim, points.sparkSession.sparkContext.defaultParallelism)
     first, slots = np.cumsum([0] + ks[:-1]), sum(ks)
     # Written once, so that a row keeps its number.
     numbered = write_shared(points.withColumn("row", F.monotonically_increasing_id()), "silhouette_rows")
@@ -212,7 +220,7 @@ def _silhouette_exact(points: DataFrame, dim: int, ks: list[int], groups: Groups
         i = 0
         for part, x in _slices(a, dim):
             j, own = 0, _members(_label_matrix(part) + first, slots)
-            for other, y in _slices(b, dim):
+            for other, y in _slices(b, dim, max(1, PAIR_BYTES // (8 * len(x)))):
                 distance = np.sqrt(squared_distances(x, y))
                 # A row's distance to itself is nought, which the expanded form may miss.
                 distance[np.equal.outer(part.column("row").to_numpy(), other.column("row").to_numpy())] = 0.0
@@ -283,7 +291,7 @@ def _silhouette_sampled(points: DataFrame, dim: int, ks: list[int], groups: Grou
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ks))
         for batch in batches:
-            for part, x in dense_slices(batch, dim):
+            for part, x in _few_rows(batch, dim, min(len(sample.x), _SAMPLE_ROWS)):
                 labels, sums = _label_matrix(part), np.zeros((len(x), sum(ks)))
                 for at in range(0, len(sample.x), _SAMPLE_ROWS):
                     some = slice(at, at + _SAMPLE_ROWS)
@@ -313,7 +321,7 @@ def _drawn_rows(numbered: DataFrame, dim: int, labellings: int, chance, seed: in
     """The rows whose number in (0, 1) is below their chance in some labelling; how many is set by the chances, not the rows."""
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, x in dense_slices(batch, dim):
+            for part, x in _few_rows(batch, dim, _SAMPLE_ROWS):
                 number = (part.column("draw").to_numpy().view(np.uint64) >> np.uint64(11)).astype(float) * 2.0 ** -53
                 labels = _label_matrix(part)
                 likely = chance(x, labels)
@@ -340,7 +348,7 @@ def _pilot_sums(pilots: Drawn, dim: int, labellings: int):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(pilots.x), labellings))
         for batch in batches:
-            for part, x in dense_slices(batch, dim):
+            for part, x in _few_rows(batch, dim, len(pilots.x)):
                 away, labels = np.sqrt(squared_distances(x, pilots.x)), _label_matrix(part)
                 for j in range(labellings):
                     total[:, j] += np.where(labels[:, j][:, None] == pilots.labels[:, j], away, 0.0).sum(0)
@@ -350,12 +358,19 @@ def _pilot_sums(pilots: Drawn, dim: int, labellings: int):
     return sums
 
 
+def _few_rows(batch: pa.RecordBatch, dim: int, others: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """``dense_slices`` whose distances to ``others`` rows fit ``PAIR_BYTES``."""
+    step = max(1, PAIR_BYTES // (8 * max(others, 1)))
+    for start in range(0, batch.num_rows, step):
+        yield from dense_slices(batch.slice(start, step), dim)
+
+
 def _block_sums(block: pa.Table, sums: np.ndarray) -> pa.Table:
     return pa.table({"row": block.column("row"), "labels": block.column("labels"), "sums": list_array(sums)})
 
 
-def _slices(table: pa.Table, dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for batch in table.to_batches():
+def _slices(table: pa.Table, dim: int, most: int = TILE_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in table.to_batches(max_chunksize=most):
         yield from dense_slices(batch, dim)
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -216,3 +217,16 @@ def test_sampled_silhouette_keeps_its_bound_and_grows_with_the_rows(spark, monke
     monkeypatch.setattr(quality, "SAMPLE_BYTES", 100)
     with pytest.raises(ValueError):
         quality.silhouette(df, 5, "sampled")
+
+
+def test_tiles_of_the_exact_silhouette_are_few():
+    assert quality._tiles(999, 64, 8) == 1 and quality._tiles(8_000, 64, 8) == 8
+    # Every row travels once per tile: 600 times with tiles of 1000 rows.
+    assert quality._tiles(600_000, 64, 12) == 19 and quality._tiles(600_000, 4096, 12) == 600
+
+
+def test_distances_held_at_a_time_are_bounded():
+    x = pa.array(list(np.arange(20_000.0).reshape(-1, 2)), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.list_(pa.int32())), x], names=["v_idx", "v_val"])
+    parts = [v for _, v in quality._few_rows(batch, 2, 1024)]
+    assert max(len(v) for v in parts) * 1024 * 8 <= quality.PAIR_BYTES and np.array_equal(np.concatenate(parts).ravel(), np.arange(20_000.0))
