@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -25,6 +27,8 @@ MERGERS = 32
 
 # Centres of all fits that run side by side; each task holds them and their sums once.
 STATE_BYTES = 64 << 20
+# Vectors are kept for the passes in blocks of about so many bytes.
+BLOCK_BYTES = 4 << 20
 
 
 class Fit(NamedTuple):
@@ -61,7 +65,7 @@ def fit_all(df: DataFrame, ks: Sequence[int], features: str = "features", restar
     values = F.col(features)
     if isinstance(df.schema[features].dataType, VectorUDT):
         values = vector_to_array(values)
-    points = pack(df.select(*vector_columns(df, features), F.xxhash64(values, F.lit(seed)).alias("draw")), dim).persist()
+    points = as_blocks(pack(df.select(*vector_columns(df, features), F.xxhash64(values, F.lit(seed)).alias("draw")), dim))
     try:
         per_restart = sum(ks) * dim * 8
         together = max(1, min(restarts, STATE_BYTES // per_restart))
@@ -76,9 +80,48 @@ def fit_all(df: DataFrame, ks: Sequence[int], features: str = "features", restar
         points.unpersist()
 
 
-def _fit_lanes(points: DataFrame, dim: int, ks: list[int], lanes: range, seed: int,
+def as_blocks(points: DataFrame) -> RDD:
+    """The rows as Arrow batches in bytes, kept for many passes.
+
+    A pass over them is a job without a plan of its own, and no value is converted on its way to Python: with hundreds of
+    passes over a table of narrow rows, both cost more than the distances.
+    """
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, BLOCK_BYTES * batch.num_rows // max(batch.nbytes, 1))
+            for start in range(0, batch.num_rows, step):
+                yield pa.RecordBatch.from_arrays([pa.array([_to_bytes(batch.slice(start, step))], pa.binary())], names=["block"])
+
+    return points.mapInArrow(block, "block binary").rdd.map(lambda row: bytes(row["block"])).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _to_bytes(batch: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _from_bytes(blocks: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    for block in blocks:
+        yield from pa.ipc.open_stream(block)
+
+
+def _pass(points: RDD, step) -> RDD:
+    """What ``step`` makes of the batches of each task, in bytes again."""
+    return points.mapPartitions(lambda blocks: map(_to_bytes, step(_from_bytes(blocks))))
+
+
+def _collect(found: RDD) -> pa.Table | None:
+    batches = list(_from_bytes(found.collect()))
+    return pa.Table.from_batches(batches) if batches else None
+
+
+def _fit_lanes(points: RDD | DataFrame, dim: int, ks: list[int], lanes: range, seed: int,
                max_iter: int, tol: float) -> Iterator[Fit]:
-    tasks = points.rdd.getNumPartitions()
+    if isinstance(points, DataFrame):
+        points = as_blocks(points)
+    tasks = points.getNumPartitions()
     running = _starts(points, tasks, dim, ks, lanes, seed)
     limit = None
     for _ in range(max_iter):
@@ -105,7 +148,7 @@ def _fit_lanes(points: DataFrame, dim: int, ks: list[int], lanes: range, seed: i
     yield from (Fit(*fit) for fit in left)
 
 
-def _starts(points: DataFrame, tasks: int, dim: int, ks: list[int], lanes: range, seed: int) -> list[tuple[int, np.ndarray]]:
+def _starts(points: RDD, tasks: int, dim: int, ks: list[int], lanes: range, seed: int) -> list[tuple[int, np.ndarray]]:
     """``(k, centres)`` to start from, for every k and lane, after ROUNDS + 1 passes over the vectors.
 
     Bahmani et al., "Scalable k-means++", VLDB 2012: each round draws as many candidates as the largest k at once, in
@@ -114,27 +157,32 @@ def _starts(points: DataFrame, tasks: int, dim: int, ks: list[int], lanes: range
     """
     candidates = [np.empty((0, dim)) for _ in lanes]
     for step in range(ROUNDS):
-        drawn = _smallest(points.mapInArrow(_draw(candidates, dim, [(seed, lane, step) for lane in lanes], max(ks)), DRAWN), tasks, max(ks))
+        drawn = _smallest(_pass(points, _draw(candidates, dim, [(seed, lane, step) for lane in lanes], max(ks))), tasks, max(ks))
         candidates = [np.concatenate([own, drawn[i]]) if i in drawn else own for i, own in enumerate(candidates)]
     weights = [np.zeros(len(c)) for c in candidates]
-    for row in points.mapInArrow(_weigh(candidates, dim), "lane int, candidate int, n bigint").groupBy("lane", "candidate").agg(
-            F.sum("n").alias("n")).collect():
-        weights[row["lane"]][row["candidate"]] = row["n"]
+    counts = _pass(points, _weigh(candidates, dim)).mapPartitions(_counts).reduceByKey(add, min(tasks, MERGERS))
+    for (lane, candidate), n in counts.collect():
+        weights[lane][candidate] = n
     return [(k, _recluster(candidates[i], weights[i], k, np.random.default_rng([seed, lane, k])))
             for k in ks for i, lane in enumerate(lanes)]
 
 
-DRAWN = "lane int, key double, vector array<double>"
+def _counts(blocks: Iterator[bytes]) -> Iterator[tuple[tuple[int, int], int]]:
+    for batch in _from_bytes(blocks):
+        lane, candidate, n = (batch.column(c).to_pylist() for c in ("lane", "candidate", "n"))
+        yield from zip(zip(lane, candidate), n)
 
 
-def _smallest(drawn: DataFrame, tasks: int, want: int) -> dict[int, np.ndarray]:
+def _smallest(drawn: RDD, tasks: int, want: int) -> dict[int, np.ndarray]:
     """Per lane the ``want`` vectors with the least keys, of as many from each task."""
-    if tasks > 1:
+    if tasks > MERGERS:
         # Dealt out and cut down once more, so that the driver hears from a bounded number of tasks.
-        drawn = drawn.repartition(min(tasks, MERGERS)).mapInArrow(_keep_smallest(want), DRAWN)
-    table = drawn.toArrow()
+        drawn = _pass(drawn.repartition(MERGERS), _keep_smallest(want))
+    table = _collect(drawn)
+    if table is None:
+        return {}
     lane, key = table.column("lane").to_numpy(), table.column("key").to_numpy()
-    vectors = list_matrix(table.column("vector")) if table.num_rows else None
+    vectors = list_matrix(table.column("vector"))
     order = np.lexsort((key, lane))
     return {int(i): vectors[order[lane[order] == i][:want]] for i in np.unique(lane)}
 
@@ -243,14 +291,34 @@ def _weigh(candidates: list[np.ndarray], dim: int):
     return weigh
 
 
-def _lloyd_pass(points: DataFrame, tasks: int, dim: int, runs: list[np.ndarray]) -> dict:
+def _lloyd_pass(points: RDD, tasks: int, dim: int, runs: list[np.ndarray]) -> dict:
     """Per centre (numbered through all runs): rows assigned, their inertia and their sum.
 
-    Entry -1 is the whole table: rows, sum of squared lengths, sum.
+    Entry -1 is the whole table: rows, sum of squared lengths, sum. Small sums come to the driver from each task, larger ones
+    are dealt out by slot and added up first.
     """
     slots = sum(len(c) for c in runs) + 1
-    rows = sum_by_slot(points.mapInArrow(_assign_and_sum(runs, dim), SLOT_SCHEMA), slots, dim, tasks)
-    return {slot: (n, cost, total) for slot, n, cost, total in rows}
+    found = _pass(points, _assign_and_sum(runs, dim))
+    size = slots * dim * 8 * tasks
+    if size > TASK_BYTES:
+        share = min(-(-size // TASK_BYTES), slots, points.context.defaultParallelism)
+        found = found.mapPartitions(_dealt(share)).partitionBy(share, int).values().mapPartitions(
+            lambda blocks: map(_to_bytes, _add_up(_from_bytes(blocks))))
+    return {slot: (n, cost, total) for batch in _add_up(_from_bytes(found.collect())) for slot, n, cost, total in _slots(batch)}
+
+
+def _dealt(share: int):
+    """The slots of each batch by their remainder."""
+    def deal(blocks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+        for batch in _from_bytes(blocks):
+            to = batch.column("slot").to_numpy() % share
+            for i in np.unique(to):
+                yield int(i), _to_bytes(batch.take(pa.array(np.flatnonzero(to == i))))
+    return deal
+
+
+def _slots(batch: pa.RecordBatch) -> Iterator[tuple[int, int, float, np.ndarray]]:
+    return zip(*(batch.column(c).to_pylist() for c in ("slot", "n", "cost")), list_matrix(batch.column("total")))
 
 
 SLOT_SCHEMA = "slot int, n bigint, cost double, total array<double>"
@@ -270,8 +338,7 @@ def sum_by_slot(partial: DataFrame, slots: int, dim: int, tasks: int) -> list[tu
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, list] = {}
     for batch in batches:
-        scalars = (batch.column(c).to_pylist() for c in ("slot", "n", "cost"))
-        for slot, n, cost, total in zip(*scalars, list_matrix(batch.column("total"))):
+        for slot, n, cost, total in _slots(batch):
             known = sums.setdefault(slot, [0, 0.0, 0.0])
             known[0] += n
             known[1] += cost

@@ -230,3 +230,26 @@ def test_distances_held_at_a_time_are_bounded():
     batch = pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.list_(pa.int32())), x], names=["v_idx", "v_val"])
     parts = [v for _, v in quality._few_rows(batch, 2, 1024)]
     assert max(len(v) for v in parts) * 1024 * 8 <= quality.PAIR_BYTES and np.array_equal(np.concatenate(parts).ravel(), np.arange(20_000.0))
+
+
+@pytest.mark.parametrize("task_bytes", [1, 1 << 30])
+def test_sums_of_a_pass_over_blocks_are_those_of_numpy(spark, monkeypatch, task_bytes):
+    monkeypatch.setattr(cluster, "TASK_BYTES", task_bytes)
+    monkeypatch.setattr(cluster, "BLOCK_BYTES", 1000)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 4))
+    runs = [x[:3].copy(), x[3:8].copy()]
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "v_val array<double>").repartition(4)
+    points = cluster.as_blocks(rows.select(F.lit(None).cast("array<int>").alias("v_idx"), "v_val", F.xxhash64("v_val").alias("draw")))
+    assert points.count() > 8
+    found = cluster._lloyd_pass(points, points.getNumPartitions(), 4, runs)
+    points.unpersist()
+    slot = 0
+    for centers in runs:
+        away = ((x[:, None] - centers) ** 2).sum(2)
+        for c in range(len(centers)):
+            own = away.argmin(1) == c
+            n, cost, total = found[slot]
+            assert n == own.sum() and np.isclose(cost, away[own, c].sum()) and np.allclose(total, x[own].sum(0))
+            slot += 1
+    assert found[-1][0] == 500 and np.isclose(found[-1][1], (x * x).sum()) and np.allclose(found[-1][2], x.sum(0))
