@@ -28,7 +28,7 @@ class Encoder:
     per worker. Past ``LIMIT`` words only what the last slice of texts had is remembered.
     """
 
-    LIMIT, SLICE = 1_000_000, 16_000_000
+    LIMIT, SLICE = 1_000_000, 4_000_000
 
     def __init__(self, path: str):
         import os

@@ -731,3 +731,14 @@ def test_pipeline_stages(spark, tmp_path):
     for r in docs.collect():
         found[r.doc_id] += r.length
     assert found == wanted
+
+
+def test_the_encoder_holds_a_few_million_characters_at_a_time(monkeypatch):
+    texts = pa.array([f"word{i % 7} and more " * 25_000 for i in range(40)])
+    encode, sizes = Encoder(TOKENIZER), []
+    whole = Encoder._texts
+    monkeypatch.setattr(Encoder, "_texts", lambda self, some: sizes.append(len("".join(some.to_pylist()))) or whole(self, some))
+    found = list(encode.stream(texts))
+    assert max(sizes) < 5_000_000 and sum(sizes) == sum(map(len, texts.to_pylist()))
+    monkeypatch.setattr(Encoder, "SLICE", 1 << 30)
+    assert found == list(encode.stream(texts))
