@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.llm import lines, minhash, mixing, packing
 from corpusfold.llm import toxicity as tox
-from corpusfold.session import working_root, write_shared
+from corpusfold.session import working_root, working_tables, write_shared
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice. Rows may share an id or have none."""
-    keyed = write_shared(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keyed = write_shared(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", codec="zstd")
     return mixing.apply_mix(keyed, mixing.mix(keyed, id_col="_row"), id_col="_row").select(*docs.columns)
 
 
@@ -65,6 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{root}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        # The tables that a stage works on go with it.
+        with working_tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

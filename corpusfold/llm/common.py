@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusfold.session import working_root
+from corpusfold.session import is_small, working_root, write_shared
 
 LEAST = -(1 << 63)
 
@@ -23,10 +23,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{working_root(spark)}/corpusfold/{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """As ``write_shared``."""
         path = f"{self.root}/{uuid.uuid4().hex}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:
@@ -34,6 +34,24 @@ class Scratch:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def join_ids(rows: DataFrame, ids: DataFrame, id_col: str, how: str, *by: str, write=write_shared) -> DataFrame:
+    """``rows`` joined (``how``: left_semi, left_anti, inner) with a written table of whole numbers, and no column of it.
+
+    The ids become maps of a bit for each of 32768 neighbours, broadcast while they are small: for numbered rows that is a
+    bit a row, and ``rows`` is not shuffled. Ids that lie too far apart, or are too many, are joined as they are. In an
+    inner join an id has a row for each value of ``by`` that it occurs with, and as many times its row is returned.
+    """
+    number = F.col(id_col)
+    maps = write(ids.groupBy(*by, F.bitmap_bucket_number(number).alias("_map")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits")), "maps")
+    if not is_small(maps):
+        return rows.join(ids.select(id_col, *by).distinct(), id_col, how).select(*rows.columns)
+    place = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, (place % 8).cast("int")) == 1
+    return rows.join(F.broadcast(maps), (F.bitmap_bucket_number(number) == F.col("_map")) & held, how).select(*rows.columns)
+
+
 def longs(values: Sequence[int]) -> Column:
     """A constant array of longs, built by the SQL parser in one call."""
     if not values:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusfold.llm.common import join_ids
 from corpusfold.session import broadcast_if_small, write_shared
 
 # A line on more than this share of a host's pages is boilerplate...
@@ -16,6 +17,8 @@ MIN_PAGES = 5
 # such a line may be a passage and no notice, so one document keeps it unless its share is above RATIO.
 LONG_WORDS, LONG_PAGES = 50, 2
 BLANKS = " \t\r"
+# Places of a map of hashes for each text in it.
+PLACES = 16
 # A word; scripts written without spaces have about two characters to a word.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 WORD = rf"[{_UNSPACED}]{{1,2}}|[^\s{_UNSPACED}]+"
@@ -95,7 +98,8 @@ def drop_repeated(docs: DataFrame, found: DataFrame, classes: DataFrame) -> Data
 
     The keeper of a line keeps it, and so do the documents of its class (``doc_id, class_id``), which stay copies of it.
     As in ``drop_boilerplate`` a text that would keep no line is left as it is. A source may have any number of such
-    lines: they are looked up by joins, and the lines that go are gathered per source and text, equal texts once.
+    lines: they are looked up by joins, and the lines that go are gathered per source and text, equal texts once. Only texts
+    that lose lines are shuffled to meet them, and one in PLACES of the others.
     """
     found = write_shared(found.select(F.col("source").alias("_of"), "key", "keeper"), "repeated")
     keyed = docs.withColumn("_source", F.col("source")).withColumn("_digest", F.xxhash64("text"))
@@ -107,8 +111,13 @@ def drop_repeated(docs: DataFrame, found: DataFrame, classes: DataFrame) -> Data
             .filter(~F.col("class_id").eqNullSafe(F.col("keeper"))).select("_source", "_digest", "_key"))
     gone = (hits.filter("keeper IS NULL").select("_source", "_digest", "_key").unionByName(kept)
             .groupBy(F.col("_source").alias("_of"), F.col("_digest").alias("_text")).agg(F.collect_set("_key").alias("_keys")))
-    gone = broadcast_if_small(write_shared(gone, "gone"), 10_000)
-    joined = keyed.join(gone, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_text")), "left")
+    gone = write_shared(gone, "gone")
+    places = F.lit(PLACES * max(gone.count(), 1))
+    marked = write_shared(gone.select(F.pmod("_text", places).alias("_place")), "places")
+    keyed = keyed.withColumn("_place", F.pmod("_digest", places))
+    lose, keep = (join_ids(keyed, marked, "_place", how) for how in ("left_semi", "left_anti"))
+    joined = lose.join(gone, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_text")), "left")
+    joined = joined.unionByName(keep, allowMissingColumns=True)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return _without_keys(joined, "text").select(*names, "n_lines", "n_dropped")
 

@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusfold.llm.common import Scratch
-from corpusfold.session import broadcast_if_small, write_shared
+from corpusfold.llm.common import Scratch, join_ids
+from corpusfold.session import write_shared
 
 # Writes a working table under a name and reads it back.
 Write = Callable[[DataFrame, str], DataFrame]
@@ -255,17 +255,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """
     scratch = Scratch(docs.sparkSession)
     keyed = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
-                                     F.col(text_col).alias("text")), "rows")
+                                     F.col(text_col).alias("text")), "rows", "zstd")
     return _placed(keyed, similarity, scratch).select("doc_id", "class_id", "class_size", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps: one of each class, with all their columns."""
-    keyed = write_shared(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keyed = write_shared(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", codec="zstd")
     found = _placed(keyed.select(F.col("_row").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
                                  F.col(text_col).alias("text")), similarity, Scratch(docs.sparkSession))
-    gone = found.filter("NOT kept").select(F.col("row").alias("_row"))
-    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = write_shared(found.filter("NOT kept").select(F.col("row").alias("_row")), "gone")
+    return join_ids(keyed, gone, "_row", "left_anti").select(*docs.columns)
 
 
 def _placed(keyed: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -295,9 +295,9 @@ def near_classes(rows: DataFrame, similarity: float = SIMILARITY, write: Write =
     buckets = write(banded.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("held"))
                            .filter("held > 1"), "buckets")
     members = write(banded.join(buckets, "key"), "members")
-    # Their ids are counted: as long as they fit a broadcast, the texts of all others are read and not shuffled.
-    wanted = broadcast_if_small(write(members.select("id").distinct(), "wanted"), 1_000_000)
-    texts = write(rows.join(wanted, "id", "left_semi"), "texts")
+    # The texts of all others are read and not shuffled.
+    wanted = write(members.select("id").distinct(), "wanted")
+    texts = write(join_ids(rows, wanted, "id", "left_semi", write=write), "texts")
     stars = write(members.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = write(_verified(stars, texts, similarity), "links")
     labels = components(links, write)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusfold.llm.common import join_ids
 from corpusfold.session import write_shared
 
 # Fixed values of the contract: what a word is, the weights in turn, the share of all words, the copies allowed.
@@ -158,7 +159,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` as often as the mix takes them; ids must be unique. Texts without words stay out."""
-    times = mixed.filter("taken > 0").select(F.col("doc_id").alias(id_col), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return (docs.join(times, id_col).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-            .select(*docs.columns))
+    """``docs`` as often as the mix takes them; ids must be unique numbers. Texts without words stay out.
+
+    With ids that are close together, such as numbered rows, texts are not shuffled.
+    """
+    times = (F.col("taken") / F.col("size")).cast("int")
+    copies = mixed.filter("taken > 0").select(F.col("doc_id").alias(id_col), F.explode(F.sequence(F.lit(1), times)).alias("_copy"))
+    return join_ids(docs, write_shared(copies, "copies"), id_col, "inner", "_copy")

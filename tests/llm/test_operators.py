@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusfold.llm import (exact_dedup, fingerprints, lines, minhash, mixing, packing, pii, sharding, token_files,
                             toxicity)
-from corpusfold.llm.common import Scratch, range_of
+from corpusfold.llm.common import Scratch, join_ids, range_of
 from corpusfold.llm.tokens import Encoder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -742,3 +742,52 @@ def test_the_encoder_holds_a_few_million_characters_at_a_time(monkeypatch):
     assert max(sizes) < 5_000_000 and sum(sizes) == sum(map(len, texts.to_pylist()))
     monkeypatch.setattr(Encoder, "SLICE", 1 << 30)
     assert found == list(encode.stream(texts))
+
+
+def shuffled_texts(frame):
+    """Shuffles of a plan that carry the column ``text``."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [s for s in plan.split("\n") if "text" in s and "Exchange" in s and "Broadcast" not in s]
+
+
+def test_ids_are_joined_by_maps_or_as_they_are(spark, tmp_path):
+    close = [*range(0, 100_000, 7), (1 << 33) + 32768, (1 << 33) + 32769]
+    far = [-(1 << 63), -40_000, -1, 0, 1, 32768, (1 << 63) - 1]
+    for name, held in (("close", close), ("far", far), ("none", [])):
+        ids = [(i, c) for i in held for c in range(1 + i % 2)]
+        spark.createDataFrame(ids, "n bigint, copy int").write.parquet(str(tmp_path / name))
+        ids = spark.read.parquet(str(tmp_path / name))
+        numbers = sorted({x for i in [*far, *close] for x in (max(i - 1, -(1 << 63)), i, min(i + 1, (1 << 63) - 1))})
+        rows = spark.createDataFrame([(n, str(n)) for n in numbers], "n bigint, text string")
+        for small in (True, False):
+            with pytest.MonkeyPatch.context() as patch:
+                if not small:
+                    patch.setattr("corpusfold.llm.common.is_small", lambda maps: False)
+                found = {how: join_ids(rows, ids, "n", how, *by) for how, by in (("left_semi", ()), ("left_anti", ()), ("inner", ("copy",)))}
+                assert not small or not any(shuffled_texts(f) for f in found.values())
+                got = {how: sorted(r.n for r in f.collect()) for how, f in found.items()}
+            assert got["left_semi"] == sorted(set(held)) and got["left_anti"] == sorted(set(numbers) - set(held))
+            assert got["inner"] == sorted(i for i, _ in [(i, c) for i in held for c in range(1 + i % 2)])
+            assert found["inner"].columns == rows.columns
+
+
+def test_stages_do_not_shuffle_the_texts_that_stay(spark, words, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    # As on a table too large for Spark to broadcast any side by itself.
+    monkeypatch.setattr(lines, "broadcast_if_small", lambda df, *limits: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rng = random.Random(12)
+        rows = [(i, " ".join(rng.choice(words) for _ in range(80)) + ("\nYes." if i < 30 else ""), "s") for i in range(120)]
+        docs = table(spark, rows).withColumn("n_chars", F.char_length("text").cast("bigint"))
+        assert not shuffled_texts(pipeline.near_dedup(spark, docs, "")) and not shuffled_texts(pipeline.mix_sources(spark, docs, ""))
+        met = []
+        whole = lines.join_ids
+        monkeypatch.setattr(lines, "join_ids", lambda rows, ids, at, how: met.append(whole(rows, ids, at, how)) or met[-1])
+        found = {r.doc_id: r.text for r in pipeline.line_dedup(spark, docs, "").collect()}
+        assert found == {i: t.removesuffix("\nYes.") for i, t, _ in rows}
+        shuffled, stay = (m.count() for m in met)
+        assert 30 <= shuffled <= 50 and shuffled + stay == len(rows) and not shuffled_texts(met[1])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
