@@ -20,6 +20,13 @@ PLAIN_LINES = re.compile("[\n!-~\xa1-\xff]*")
 WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\n0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
 
 
+def _lines(values: pa.Array) -> str:
+    """Strings in one, a line end between them: a call for all, where ``to_pylist`` takes a microsecond and more for each."""
+    whole = values.cast(pa.large_string())
+    one = pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole)
+    return pc.binary_join(one, pa.scalar("\n", pa.large_string()))[0].as_py()
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit integers, the same as ``Tokenizer.encode`` gives.
 
@@ -63,17 +70,17 @@ class Encoder:
         self.bounds = np.concatenate([self.bounds, stops + self.bounds[-1]])
         self.ids = np.concatenate([self.ids, ids])
 
-    def _find(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of different chunks, one after the other, and where each begins; the last entry is the end."""
-        lines = "\n".join(chunks)
+    def _find(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different chunks, a line each, one after the other, and where each begins; the last entry is the end."""
         other: dict[int, np.ndarray] = {}
         if not PLAIN_LINES.fullmatch(lines) or "<|" in lines:
+            chunks = lines.split("\n")
             odd = [i for i, c in enumerate(chunks) if "<|" in c or not PLAIN.fullmatch(c)]
             other = dict(zip(odd, self._encode([chunks[i] for i in odd])))
             lines = "\n".join("" if i in other else c for i, c in enumerate(chunks))
         coded = pa.array(["\n", *WORDS.findall(lines.lower())], pa.large_string()).dictionary_encode()
         # The first of the different parts is the line end, which begins every chunk.
-        words = coded.dictionary.to_pylist()[1:]
+        words = _lines(coded.dictionary[1:]).split("\n") if len(coded.dictionary) > 1 else []
         if len(self.numbers) > self.LIMIT:
             self._forget()
         new = [w for w in words if w not in self.numbers]
@@ -101,7 +108,7 @@ class Encoder:
     def _texts(self, texts: pa.Array) -> Iterator[bytes]:
         chunks = pc.ascii_split_whitespace(texts)
         coded = chunks.flatten().dictionary_encode()
-        found, starts = self._find(coded.dictionary.to_pylist() or [""])
+        found, starts = self._find(_lines(coded.dictionary))
         at = coded.indices.to_numpy()
         counts = np.diff(starts)[at]
         ends = np.concatenate([[0], np.cumsum(counts)])

@@ -791,3 +791,15 @@ def test_stages_do_not_shuffle_the_texts_that_stay(spark, words, monkeypatch):
         assert 30 <= shuffled <= 50 and shuffled + stay == len(rows) and not shuffled_texts(met[1])
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_the_encoder_takes_chunks_and_words_as_one_text_not_one_by_one(monkeypatch):
+    texts = pa.array(["one 2two Tübingen's one", None, "", "three'll one", "中 four"])
+    encode, seen = Encoder(TOKENIZER), []
+    find = Encoder._find
+    monkeypatch.setattr(Encoder, "_find", lambda self, lines: seen.append(lines) or find(self, lines))
+    found = list(encode.stream(texts))
+    assert [sorted(filter(None, lines.split("\n"))) for lines in seen] == [sorted({c for t in texts.to_pylist() for c in (t or "").split()})]
+    wanted = encode.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+    assert found == [np.array(e.ids, "<u4").tobytes() for e in wanted]
+    assert list(encode.stream(pa.array(["", None, "\n "]))) == [b"", b"", b""]
