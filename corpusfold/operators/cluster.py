@@ -355,16 +355,27 @@ def slot_batch(slots: np.ndarray, n: np.ndarray, cost: np.ndarray, total: np.nda
 
 
 def _nearest(x: np.ndarray, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centre of each run and the squared distance to it, both rows x runs."""
-    d = squared_distances(x, np.concatenate(runs))
-    label, least = np.empty((len(x), len(runs)), int), np.empty((len(x), len(runs)))
+    """Nearest centre of each run and the squared distance to it, both runs x rows.
+
+    Distances lie in a row per centre, and those of a run are met one after the other for all points at once: a search of its own
+    for each point and run takes longer than the distances do.
+    """
+    centers = np.concatenate(runs)
+    d = (-2.0 * centers) @ x.T
+    d += (centers * centers).sum(1)[:, None]
+    label, least = np.zeros((len(runs), len(x)), np.int64), np.empty((len(runs), len(x)))
     start = 0
-    for j, centers in enumerate(runs):
-        own = d[:, start:start + len(centers)]
-        label[:, j] = own.argmin(1)
-        least[:, j] = own[np.arange(len(x)), label[:, j]]
-        start += len(centers)
-    return label, least
+    for j, own in enumerate(runs):
+        best, at = d[start], label[j]
+        for c in range(1, len(own)):
+            other = d[start + c]
+            # Of equal distances the first stays.
+            np.copyto(at, c, where=other < best)
+            np.minimum(best, other, out=best)
+        least[j] = best
+        start += len(own)
+    least += (x * x).sum(1)
+    return label, np.maximum(least, 0.0, out=least)
 
 
 def _assign_and_sum(runs: list[np.ndarray], dim: int):
@@ -377,12 +388,12 @@ def _assign_and_sum(runs: list[np.ndarray], dim: int):
         for batch in batches:
             for _, x in dense_slices(batch, dim):
                 label, least = _nearest(x, runs)
-                at = label + first
-                member = np.zeros((len(x), slots))
-                np.put_along_axis(member, at, 1.0, axis=1)
-                n[:slots] += member.sum(0)
+                at = label + first[:, None]
+                member = np.zeros((slots, len(x)))
+                member[at, np.arange(len(x))] = 1.0
+                n[:slots] += np.bincount(at.ravel(), minlength=slots)
                 cost[:slots] += np.bincount(at.ravel(), least.ravel(), slots)
-                total[:slots] += member.T @ x
+                total[:slots] += member @ x
                 n[slots] += len(x)
                 cost[slots] += (x * x).sum()
                 total[slots] += x.sum(0)
@@ -402,7 +413,7 @@ def assign_all(df: DataFrame, runs: Sequence[np.ndarray], features: str = "featu
     @F.arrow_udf("array<int>")
     def label(idx: pa.Array, val: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([idx, val], names=["v_idx", "v_val"])
-        found = [_nearest(x, runs)[0] for _, x in dense_slices(batch, dim)]
+        found = [np.ascontiguousarray(_nearest(x, runs)[0].T) for _, x in dense_slices(batch, dim)]
         return list_array(np.concatenate(found or [np.empty((0, len(runs)))]).astype(np.int32))
 
     idx, val = vector_columns(df, features)

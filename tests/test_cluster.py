@@ -253,3 +253,17 @@ def test_sums_of_a_pass_over_blocks_are_those_of_numpy(spark, monkeypatch, task_
             assert n == own.sum() and np.isclose(cost, away[own, c].sum()) and np.allclose(total, x[own].sum(0))
             slot += 1
     assert found[-1][0] == 500 and np.isclose(found[-1][1], (x * x).sum()) and np.allclose(found[-1][2], x.sum(0))
+
+
+@pytest.mark.parametrize("dim", [3, 64])
+def test_nearest_centres_of_all_runs_against_a_search_for_each_row(dim):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(500, dim))
+    runs = [x[rng.choice(500, k, replace=False)] for k in (1, 2, 5, 9) for _ in range(3)]
+    # Of equal centres the first is taken.
+    runs.append(np.stack([x[1], x[0], x[0], x[0]]))
+    label, least = cluster._nearest(x, runs)
+    assert label.shape == least.shape == (len(runs), len(x))
+    for own, at, away in zip(runs, label, least):
+        d = ((x[:, None] - own) ** 2).sum(2)
+        assert np.array_equal(at, d.argmin(1)) and np.allclose(away, d.min(1), atol=1e-9) and (away >= 0).all()
