@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusfold.session import write_shared
-from corpusfold.sinks.organized import RUN_FILE, OrganizedSink, remove_marker
+from corpusfold.session import broadcast_if_small, shuffles_removed, write_shared
+from corpusfold.sinks.organized import IS_MOVE, PLAN_COLUMNS, RUN_FILE, OrganizedSink, remove_marker
 from corpusfold.sources import storage
 from corpusfold.sources.tree import MARKER, TreeSource
 
@@ -28,8 +28,8 @@ def write_run(plan: DataFrame, target: str, documents: DataFrame | None = None,
               organized: str | None = None, marker: str | None = MARKER, run_id: str | None = None) -> str | None:
     """The moves of a plan with everything that belongs to them, or nothing at all; returns the id of the run.
 
-    ``documents`` (``path`` and whatever else) that move are written below ``target``, a directory per folder, each with a
-    ``marker`` file that keeps later scans out. The moves go to ``manifest`` and the folder names to ``organized``. Either all
+    ``documents`` (``path`` and whatever else; with ``part``, in several rows each) that move are written below ``target``, a
+    directory per folder, each with a ``marker`` file that keeps later scans out. The moves go to ``manifest`` and the folder names to ``organized``. Either all
     of it is there when this returns, or, when a task or the commit failed, none. None when nothing moves.
     """
     spark = plan.sparkSession
@@ -39,8 +39,15 @@ def write_run(plan: DataFrame, target: str, documents: DataFrame | None = None,
     run_id = run_id or uuid.uuid4().hex
     rows = moves.select("folder", "path", "source", "destination")
     if documents is not None:
-        kept = [c for c in documents.columns if c not in ("folder", "source", "destination", "path")]
-        rows = rows.join(documents.select("path", *kept), "path").select("folder", "source", "destination", "path", *kept)
+        kept = [c for c in documents.columns if c not in (*PLAN_COLUMNS, IS_MOVE, "path")]
+        columns = [*PLAN_COLUMNS, "path", *kept]
+        if "part" in kept:
+            # The first part of a document is its move; known before the texts are met.
+            firsts = documents.groupBy("path").agg(F.min("part").alias("_first"))
+            rows = write_shared(rows.join(firsts, "path"), "moves")
+            columns.append((F.col("part") == F.col("_first")).alias(IS_MOVE))
+        # Where the moves are few the texts stay where they are.
+        rows = documents.select("path", *kept).join(broadcast_if_small(rows), "path").select(*columns)
     else:
         rows = rows.drop("path")
     spark.dataSource.register(OrganizedSink)
@@ -48,7 +55,8 @@ def write_run(plan: DataFrame, target: str, documents: DataFrame | None = None,
     for name, value in (("marker", marker), ("manifest", manifest), ("organized", organized)):
         if value:
             writer = writer.option(name, value)
-    writer.save(target)
+    with shuffles_removed(spark):
+        writer.save(target)
     return run_id
 
 

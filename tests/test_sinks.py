@@ -72,6 +72,21 @@ def test_undo_takes_out_what_was_written(spark, tmp_path):
     assert files(tmp_path / "in") != before
 
 
+def test_a_document_in_parts_moves_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "in" / name).write_text("x")
+    docs = spark.createDataFrame([("a", i, f"a{i}") for i in range(5)] + [("b", 0, "b0")], "path string, part int, content string").repartition(4)
+    structure = spark.createDataFrame([("One", "a"), ("Two", "b")], "folder string, path string")
+    root, manifest = str(tmp_path / "in"), str(tmp_path / "manifest")
+    catalog = read_tree(spark, root).selectExpr("path AS location")
+    organize(structure, catalog, root, manifest=manifest, documents=docs)
+    assert sorted(r.destination for r in read_manifest(spark, manifest).collect()) == [f"{root}/One/a", f"{root}/Two/b"]
+    written = spark.read.option("basePath", root).parquet(f"{root}/folder=*")
+    assert sorted(r.content for r in written.collect()) == ["a0", "a1", "a2", "a3", "a4", "b0"]
+    assert "is_move" not in written.columns
+
+
 def plan(spark, count=40):
     return spark.range(count).selectExpr("concat('F', id % 4) AS folder", "concat('d', id) AS path", "concat('/s/d', id) AS source",
                                          "concat('/t/F', id % 4, '/d', id) AS destination", "'move' AS status")

@@ -1,12 +1,14 @@
 import os
 import subprocess
 import sys
+from functools import partial
 
 import duckdb
 import pytest
 
 import __spark_entry__ as suite
 from compare import TABLES, rows
+from corpusfold.suite import queries
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
@@ -27,6 +29,13 @@ def test_query_agrees_with_its_sql(spark, db, name):
     assert rows(found) == rows(wanted)
 
 
+def test_rescan_counts_documents_not_their_parts(spark, db, monkeypatch):
+    """With folders in several parts each, as those of a larger table are."""
+    monkeypatch.setattr(queries, "tree_documents", partial(queries.tree_documents, part_chars=3000))
+    found = queries.rescan_organized(spark, SMALL).toPandas()
+    assert rows(found) == rows(db.execute(suite.oracle_sql()["rescan_organized"]).df())
+
+
 def test_flagship_has_a_row_per_document(spark):
     found = suite.entry(spark)
     assert found.columns == ["folder_order", "folder", "path"]
