@@ -36,6 +36,23 @@ def test_rescan_counts_documents_not_their_parts(spark, db, monkeypatch):
     assert rows(found) == rows(db.execute(suite.oracle_sql()["rescan_organized"]).df())
 
 
+def test_units_are_put_together_without_a_list_of_their_parts(spark):
+    end = ". "
+    parts = [("a", i, 300, f"é{i}{end}") for i in range(300)] + [("gap", 0, 2, "x."), ("gap", 2, 2, "y. ")]
+    parts += [("twice", 0, 2, "b. "), ("twice", 0, 2, "a. "), ("open", 0, 2, "no"), ("open", 1, 2, "end"), ("none", 0, 1, None), (None, 0, 1, "")]
+    df = spark.createDataFrame(parts, "unit string, part int, parts int, content string").repartition(7)
+    joined = queries._rejoined(df, "unit")
+    assert "collect_list" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.columns == ["unit", "content", "numbered", "whole_sentences"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = {r.unit: tuple(r)[1:] for r in joined.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {"a": ("".join(f"é{i}{end}" for i in range(300)), True, True), "gap": ("x.y. ", False, False), "twice": ("a. b. ", False, True),
+                     "open": ("noend", True, False), "none": ("", True, True), None: ("", True, True)}
+
+
 def test_flagship_has_a_row_per_document(spark):
     found = suite.entry(spark)
     assert found.columns == ["folder_order", "folder", "path"]
